@@ -12,6 +12,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm.chat import preference_pairs
+
+    return preference_pairs(table(spark, sf_dir, "conversations"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.where(~langid.held_out()).select("lang", "text"))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm.sharding import shards
+
+    out = shards(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm import warc
+
+    path = warc.archive_path(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    out = warc.read_archives(spark, path, payloads=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockloom.llm.quality import quality
 
@@ -19,6 +56,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "dup_line_chars", *(c for c in out.columns if c.endswith("gram_chars")), F.array_join("failed", ",").alias("failed"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,13 +71,23 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), digests_only=True).drop("text")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm.mixing import mixed
+
+    out = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), drop_text=True)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockloom.llm.secrets import secrets
 
     return secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = (op6_quality_rules, op8_sentencepiece, op10_secret_scans)
+QUERIES = (
+    op1_ngram_jaccard_join, op2_chat_formatting, op3_language_id, op4_sharding, op5_warc, op6_quality_rules,
+    op7_embedding_near_dedup, op8_sentencepiece, op9_mixing, op10_secret_scans,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -42,4 +95,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from blockloom.llm import chat
+
+    return {"op2_chat_formatting": chat.ORACLE_SQL}
