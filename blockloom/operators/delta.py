@@ -24,7 +24,8 @@ def arithmetic_runs(df: DataFrame, key: str, value: Column, span: int = 4096) ->
     rows = df.select(F.expr(f"{key} div {span}").alias("chunk"), F.col(key).alias("_k"), value.cast("long").alias("v"))
     order = Window.partitionBy("chunk").orderBy("_k", "v")
     rows = rows.withColumn("d", F.col("v") - F.lag("v").over(order))
-    rows = rows.withColumn("_new", (~F.col("d").eqNullSafe(F.lag("d").over(order)) | F.col("d").isNull()).cast("int")).withColumn("run", F.sum("_new").over(order))
+    rows = rows.withColumn("_new", (~F.col("d").eqNullSafe(F.lag("d").over(order)) | F.col("d").isNull()).cast("int"))
+    rows = rows.withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return rows.groupBy("chunk", "run").agg(F.min_by("v", F.struct("_k", "v")).alias("start"), F.coalesce(F.max("d"), F.lit(0)).alias("step"), F.count("*").alias("n"))
 
 
@@ -37,7 +38,7 @@ def value_runs(df: DataFrame, part: list[str], order: list[str], test: Column) -
     """Longest runs of rows that pass a test, within part: part columns, first position, n."""
     w = Window.partitionBy(*part).orderBy(*order)
     rows = df.withColumns({"_pos": F.row_number().over(w), "_t": test})
-    rows = rows.withColumn("_g", F.col("_pos") - F.sum(F.col("_t").cast("int")).over(w)).where("_t")
+    rows = rows.withColumn("_g", F.col("_pos") - F.sum(F.col("_t").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("_t")
     return rows.groupBy(*part, "_g").agg(F.min("_pos").alias("first_pos"), F.count("*").alias("n")).drop("_g")
 
 
