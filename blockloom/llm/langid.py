@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from blockloom.llm import text as T
 
 ORDERS = (1, 2, 3)
-BITS = 11
+BITS = 10
 DIM = len(ORDERS) << BITS
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 1500
 RIDGE = 1e-3
 AMBIGUOUS = 0.2
 DOCS = 512
@@ -113,7 +113,7 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str]) -> Model:
     target = code[y].astype(np.float32)
     weight = (1 / np.maximum(np.bincount(y, minlength=len(langs)), 1))[y].astype(np.float32)
     weight *= len(y) / weight.sum()
-    mean, mid = np.average(x, 0, weight), np.average(target, 0, weight)
+    mean, mid = np.average(x, 0, weight).astype(np.float32), np.average(target, 0, weight).astype(np.float32)
     xc = (x - mean) * np.sqrt(weight)[:, None]
     gram = xc.T @ xc
     gram[np.diag_indices(len(gram))] += np.float32(RIDGE * len(y))
@@ -129,10 +129,8 @@ def sample(docs: DataFrame, rows: int) -> DataFrame:
     counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(rows).collect()}
     if not counts:
         return docs.drop("_h").limit(0)
-    share = F.lit(0.0)
     each = max(1, rows // len(counts))
     limits = docs.sparkSession.createDataFrame([(k, min(1.0, 0.9 * each / n) * 2.0**63) for k, n in counts.items()], "_l string, _most double")
-    del share
     chosen = docs.join(F.broadcast(limits), F.col("lang") == F.col("_l")).where(F.col("_h") <= F.col("_most"))  # rows languages at most
     return chosen.select("lang", "text", "_h").orderBy("_h").limit(rows).drop("_h")
 
