@@ -66,7 +66,7 @@ def schedule(spark: SparkSession, need: list[int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.searchsorted(edges, u, "right").astype(np.int32))], names=["slot", "_s"])
 
     placed = spark.range(n_slots).mapInArrow(located, "slot long, _s int")
-    placed = placed.withColumn("_at", F.col("slot") * F.lit((1 << 62) // max(1, n_slots) * 2))
+    placed = placed.withColumn("_at", F.col("slot") * F.lit(((1 << 63) - 1) // max(1, n_slots)))
     ranked = running(placed, "_s", "_at", ["slot"], F.lit(1), "rank", n_slots)
     needs = spark.createDataFrame(list(enumerate(need)), "_i int, _need long")  # MOST_SOURCES rows at most
     used = ranked.join(F.broadcast(needs), F.col("_s") == F.col("_i")).where(F.col("rank") < F.col("_need"))
