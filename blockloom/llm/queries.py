@@ -95,6 +95,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from blockloom.llm import chat
+    from blockloom.llm.oracles import ORACLES
 
-    return {"op2_chat_formatting": chat.ORACLE_SQL}
+    return dict(ORACLES)
