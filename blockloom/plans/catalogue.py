@@ -405,11 +405,11 @@ def dictionary_round_trip(spark, sf_dir):
 # differences
 
 def sql_runs(table: str, key: str, value: str, span: int = 4096) -> str:
-    return f"""a AS (SELECT {key} // {span} AS chunk, {key} AS k, CAST({value} AS BIGINT) AS v FROM {table}),
-d AS (SELECT *, v - lag(v) OVER (PARTITION BY chunk ORDER BY k, v) AS d FROM a),
-e AS (SELECT *, CASE WHEN d IS NULL OR lag(d) OVER w IS DISTINCT FROM d THEN 1 ELSE 0 END AS nw FROM d WINDOW w AS (PARTITION BY chunk ORDER BY k, v)),
-g AS (SELECT *, sum(nw) OVER (PARTITION BY chunk ORDER BY k, v ROWS UNBOUNDED PRECEDING) AS run FROM e),
-runs AS (SELECT chunk, CAST(run AS BIGINT) AS run, arg_min(v, (k, v)) AS start, coalesce(max(d), 0) AS step, count(*) AS n FROM g GROUP BY chunk, run)"""
+    return f"""a AS (SELECT {key} // {span} AS chunk, {key} AS k, CAST({value} AS BIGINT) AS v, row_number() OVER (PARTITION BY {key} // {span} ORDER BY {key}, {value}) AS i FROM {table}),
+d AS (SELECT *, v - lag(v) OVER (PARTITION BY chunk ORDER BY i) AS d FROM a),
+e AS (SELECT *, CASE WHEN d IS NULL OR lag(d) OVER w IS DISTINCT FROM d THEN 1 ELSE 0 END AS nw FROM d WINDOW w AS (PARTITION BY chunk ORDER BY i)),
+g AS (SELECT *, sum(nw) OVER (PARTITION BY chunk ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM e),
+runs AS (SELECT chunk, CAST(run AS BIGINT) AS run, arg_min(v, i) AS start, coalesce(max(d), 0) AS step, count(*) AS n FROM g GROUP BY chunk, run)"""
 
 
 @query(f"WITH {sql_runs('orders', 'o_orderkey', 'o_orderkey')} SELECT * FROM runs")
