@@ -212,3 +212,44 @@ def decoded(encoded_chunks: DataFrame, digest: str = "SHA256") -> DataFrame:
 def usage(encoded_chunks: DataFrame) -> DataFrame:
     """Chunks and bytes by codec asked for and used."""
     return encoded_chunks.groupBy("codec_requested", "codec_used").agg(F.count("*").alias("n_chunks"), F.sum("raw_length").alias("raw_bytes"), F.sum(F.octet_length("data")).alias("encoded_bytes"))
+
+
+def byte_histogram(streams: DataFrame) -> DataFrame:
+    """byte, n over all streams: counted batch by batch, then summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.zeros(256, np.int64)
+            for d in batch.column(0):
+                if d.is_valid and len(d.as_buffer()):
+                    n += np.bincount(np.frombuffer(d.as_buffer(), np.uint8), minlength=256)
+            yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(n)], names=["byte", "n"])
+
+    return streams.select("data").mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def filter_checks(streams: DataFrame) -> DataFrame:
+    """stream_id, filter, applied, and whether the inverse gives the stream back, for every filter and byte transform."""
+    kind = streams.schema["stream_id"].dataType.simpleString()
+    extra = {"zero_runs": (delta.zero_encode, delta.zero_decode), "transpose": (lambda d: delta.transpose(d, 8), lambda d: delta.transpose(d, 8, back=True))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [d.as_py() for d in batch.column(1)]
+            for name, (encode, decode) in (FILTERS | extra).items():
+                made = [encode(d) for d in data]
+                same = [m is None or decode(m) == d for m, d in zip(made, data, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(data)), pa.array([m is not None for m in made]), pa.array(same)], names=["stream_id", "filter", "applied", "restored"])
+
+    return streams.select("stream_id", "data").mapInArrow(run, f"stream_id {kind}, filter string, applied boolean, restored boolean")
+
+
+def keyed_macs(streams: DataFrame, key: bytes, digest: str = "SHA256") -> DataFrame:
+    """stream_id and its keyed digest in hex."""
+    kind = streams.schema["stream_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([mac(d.as_py() or b"", key, digest).hex() for d in batch.column(1)])], names=["stream_id", "mac"])
+
+    return streams.select("stream_id", "data").mapInArrow(run, f"stream_id {kind}, mac string")

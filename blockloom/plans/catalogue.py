@@ -555,3 +555,52 @@ def streaming_dedupe(spark, sf_dir):
     source = streams.stream_of(spark, f"{folder}/in", "stream_id long, block_no long, offset long, length long, cksum string")
     out = streaming.run_to_table(spark, streaming.streaming_references(source), f"{folder}/out", f"{folder}/state")
     return as_doc(out)
+
+
+@query("""WITH h AS (SELECT hex(encode(text)) AS h, strlen(text) AS n FROM benchmark), b AS (SELECT substr(h, 1 + 2 * i, 2) AS x FROM (SELECT h, unnest(range(0, n)) AS i FROM h))
+SELECT CAST('0x' || x AS INTEGER) AS byte, count(*) AS n FROM b GROUP BY x""")
+def byte_histogram(spark, sf_dir):
+    return codecs.byte_histogram(streams.text_streams(streams.table(spark, sf_dir, "benchmark"), "item_id", "text"))
+
+
+@query("SELECT p.page_id, f.f AS filter, true AS restored FROM pages p, (VALUES ('x86'), ('lzp'), ('delta'), ('zero_runs'), ('transpose')) AS f(f)")
+def filter_round_trip(spark, sf_dir):
+    return codecs.filter_checks(streams.pages(spark, sf_dir)).select(F.col("stream_id").alias("page_id"), "filter", "restored")
+
+
+#: HMAC by its definition, with a key of 64 bytes or fewer.
+MAC_KEY = b"a key for tests"
+PADS = [bytes(b ^ pad for b in MAC_KEY.ljust(64, b"\0")).hex().upper() for pad in (0x36, 0x5C)]
+
+
+@query(f"SELECT doc_id, sha256(unhex('{PADS[1]}' || sha256(unhex('{PADS[0]}' || hex(encode(text)))))) AS mac FROM documents")
+def mac_manifest(spark, sf_dir):
+    return as_doc(codecs.keyed_macs(streams.documents(spark, sf_dir), MAC_KEY))
+
+
+@query("SELECT CASE WHEN doc_id % 10 = 0 THEN 'crc' END AS error, count(*) AS n FROM documents WHERE strlen(text) > 0 GROUP BY 1")
+def error_quarantine(spark, sf_dir):
+    """Chunks of every tenth document are damaged; what verification says, counted."""
+    coded = codecs.encoded(chunking.chunks(streams.documents(spark, sf_dir), 1 << 20), F.lit("zlib"))
+    hurt = F.concat(F.lit(b"\0").cast("binary"), F.col("data"))
+    return codecs.decoded(coded.withColumn("data", F.when(F.col("stream_id") % 10 == 0, hurt).otherwise(F.col("data")))).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, strlen(text) AS n FROM documents WHERE false")
+def x86_blocks(spark, sf_dir):
+    """Documents that look like machine code: none of the texts does."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            on = pa.array([codecs.x86_block(d.as_py()) for d in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d.as_py()) for d in batch.column(1)], pa.int64())], names=["doc_id", "n"]).filter(on)
+
+    return streams.documents(spark, sf_dir).mapInArrow(run, "doc_id long, n long")
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
+def windowed_events(spark, sf_dir):
+    """The batch form of the windowed counts that the streaming module offers."""
+    events = streams.table(spark, sf_dir, "events")
+    return streaming.late_counts(events).select("event_type", F.col("window.start").alias("hour"), "n")
