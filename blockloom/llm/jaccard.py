@@ -6,14 +6,20 @@ order of all shingles (the prefix), so a run, the nodes that have one shingle in
 meet. The order puts shingles that very many documents hold last, so passages that documents have in common start no
 run unless they fill most of a document.
 
-1. One pass over the texts gives each document's node and size, and counts of shingles that recur within a batch. The
-   HEAVY most frequent of those come last in the order and have their runs cut into parts when they are large.
+1. One pass over the texts gives each document's node, size and bitmap, and counts of shingles that recur within a
+   batch. The HEAVY most frequent of those come last in the order; large runs of theirs are cut into parts.
 2. A second pass deals (shingle, node) of the prefixes by shingle; runs with one node go.
-3. Each node is compared exactly with one partner, the first node of most of its runs. This alone joins the members of
-   large groups of near copies, and connected components of it are the start.
-4. Only runs that hold several components are looked at further, as tiles: nodes of the run's largest component against
-   the others, in blocks of BLOCK nodes a side, banded by size. A bitmap of each set, twice as wide as the set, bounds
-   the overlap from above by its bit counts; pairs that pass are compared exactly, and the links close the components.
+3. Each node is compared with a few partners, the hubs of most of its runs. The hub of a run is its node whose prefix
+   is shared most, which in a group of near copies is the text that the others vary. This alone joins most of a large
+   group, and connected components of it are the start.
+4. Only runs that hold several components are looked at further. Pairs of a run of fewer than SMALL nodes are listed
+   within the band of sizes that the similarity allows. Larger runs become tiles, in blocks of BLOCK nodes a side: all
+   runs with the same largest component share the tiles of its members against the other nodes, and the other nodes of
+   a run have tiles of their own. So what is dealt out grows with the nodes that are not joined yet.
+
+In 3 and 4 pairs pass a bitmap, the parities of shingle hashes over at least twice as many bits as the set has members;
+the bits that differ bound the overlap from above. Tiles do this band by band in numpy. Only sets of nodes in pairs that
+pass are fetched as sorted arrays, and intersected exactly. The links close the components.
 
 No pair of different components that share a run is left out, so the result is exact, but for collisions of 64-bit
 hashes (expected: fewer than one in 10**9 documents). Links inside a component that is known already are not sought.
@@ -42,8 +48,11 @@ WORDS = 5
 SIMILARITY = (75, 100)
 #: Shingles counted as heavy at most, the count within a window of COUNTED bytes of text that is reported, and the
 #: total from which a shingle is heavy. A run of a heavy shingle is cut into parts of about PART nodes.
-HEAVY, REPORTED, LEAST, COUNTED, PART = 1 << 17, 4, 64, 8 << 20, 20_000
+HEAVY, REPORTED, LEAST, COUNTED, PART = 1 << 18, 2, 8, 8 << 20, 20_000
 BLOCK = 2048
+PAIRS = 1 << 22
+HUBS = 3
+SMALL = 48
 FILTER_BITS = 24
 
 
@@ -52,7 +61,7 @@ def node_of(s: np.ndarray) -> int:
 
 
 def node_pass(n: int):
-    """doc_id, size of the set and node; and for shingles that recur in a window: null, count and shingle."""
+    """doc_id, size of the set, node and bitmap; and for shingles that recur in a window: null, count and shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
@@ -60,13 +69,13 @@ def node_pass(n: int):
         def recurring():
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             on = counts >= REPORTED
-            return pa.RecordBatch.from_arrays([pa.nulls(int(on.sum()), pa.int64()), pa.array(counts[on].astype(np.int64)), pa.array(keys[on].astype(np.int64)), pa.array(np.ones(int(on.sum()), bool))], names=["doc_id", "n", "node", "recurring"])
+            return pa.RecordBatch.from_arrays([pa.nulls(int(on.sum()), pa.int64()), pa.array(counts[on].astype(np.int64)), pa.array(keys[on].astype(np.int64)), pa.array(np.ones(int(on.sum()), bool)), pa.nulls(int(on.sum()), pa.binary())], names=["doc_id", "n", "node", "recurring", "bits"])
 
         for batch in batches:
             for a, b, raw, off in T.slices(batch.column(1)):
                 sets = T.shingles(raw, off, n)
                 nodes = [node_of(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(np.zeros(b - a, bool))], names=["doc_id", "n", "node", "recurring"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(np.zeros(b - a, bool)), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n", "node", "recurring", "bits"])
                 for s, k in zip(sets, nodes, strict=True):
                     if k is not None and k not in seen:
                         seen.add(k)
@@ -82,13 +91,13 @@ def node_pass(n: int):
 
 
 def prefix_pass(n: int, heavy: np.ndarray, cuts: np.ndarray, share: tuple[int, int]):
-    """(shingle, part, node) of each set's prefix; equal sets of a task count once."""
+    """(shingle, part, node, size) of each set's prefix; equal sets of a task count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, _, raw, off in T.slices(batch.column(0)):
-                keys, nodes, counts = [], [], []
+                keys, nodes, counts, sizes = [], [], [], []
                 for s in T.shingles(raw, off, n):
                     if not len(s) or (k := node_of(s)) in seen:
                         continue
@@ -101,6 +110,7 @@ def prefix_pass(n: int, heavy: np.ndarray, cuts: np.ndarray, share: tuple[int, i
                     keys.append(s[:want])
                     nodes.append(k)
                     counts.append(want)
+                    sizes.append(len(s))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if not keys:
@@ -110,23 +120,26 @@ def prefix_pass(n: int, heavy: np.ndarray, cuts: np.ndarray, share: tuple[int, i
                 if len(heavy):
                     at = np.minimum(np.searchsorted(heavy, key), len(heavy) - 1)
                     part = np.where(heavy[at] == key, (T.mix(node.astype(np.uint64)) % cuts[at].astype(np.uint64)).astype(np.int64), 0)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(part.astype(np.int32)), pa.array(node)], names=["key", "part", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(part.astype(np.int32)), pa.array(node), pa.array(np.repeat(np.array(sizes, np.int32), counts))], names=["key", "part", "node", "n"])
 
     return run
 
 
 def array_pass(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for _, _, raw, off in T.slices(batch.column(0)):
-                sets = [s for s in T.shingles(raw, off, n) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "set"])
+                sets = {node_of(s): s for s in T.shingles(raw, off, n) if len(s)}
+                sets = {k: s for k, s in sets.items() if k not in seen}  # repeated rows count once
+                seen.update(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["node", "set"])
 
     return run
 
 
 def arrays_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """node, n and set (sorted 64-bit hashes) of the documents with these ids.
+    """node and set (sorted 64-bit hashes) of the documents with these ids.
 
     A filter of 2**FILTER_BITS bits, as a table of 2**(FILTER_BITS - 6) words at most, keeps most other texts out of
     the shuffle.
@@ -136,7 +149,7 @@ def arrays_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     docs = docs.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(words), "word")
     docs = docs.where(F.expr("shiftrightunsigned(bits, CAST(bit % 64 AS INT)) & 1L = 1L"))
     found = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
-    return found.mapInArrow(array_pass(n), "node long, n long, set binary").groupBy("node").agg(F.first("n").alias("n"), F.first("set").alias("set"))
+    return found.mapInArrow(array_pass(n), "node long, set binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -148,14 +161,22 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def verified(pairs: DataFrame, arrays: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity; b may be the same in many of them."""
-    x = arrays.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
-    y = arrays.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    close = (share[1] * F.least("na", "nb") >= share[0] * F.greatest("na", "nb"))
-    both = pairs.join(y, "b").join(x, "a").where(close).select("a", "b", "sa", "sb")
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that size and bitmap allow and whose sets have the similarity; b may be the same in many."""
+    one = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}"))
+    close = share[1] * F.least("na", "nb") >= share[0] * F.greatest("na", "nb")
+    both = pairs.join(one("b"), "b").join(one("a"), "a").where(close).select("a", "b", "na", "nb", "bits_a", "bits_b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [possible(na.as_py(), nb.as_py(), x.as_py(), y.as_py(), share) for na, nb, x, y in zip(*batch.columns[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = checkpoint(both.mapInArrow(bounded, "a long, b long"))
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    arrays = checkpoint(arrays_of(docs, classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), n))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for sa, sb in zip(batch.column(2), batch.column(3), strict=True):
@@ -164,7 +185,8 @@ def verified(pairs: DataFrame, arrays: DataFrame, share: tuple[int, int]) -> Dat
                 keep.append(share[1] * o >= share[0] * (len(sa) + len(sb) - o))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    sets = lambda c: arrays.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
+    return pairs.join(sets("b"), "b").join(sets("a"), "a").select("a", "b", "sa", "sb").mapInArrow(compared, "a long, b long")
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -174,10 +196,92 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
 
-def bitmap_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def possible(na: int, nb: int, x: bytes, y: bytes, share: tuple[int, int]) -> bool:
+    """Whether the bits that differ leave the overlap that the similarity p / q needs.
+
+    They bound the overlap o by (na + nb - bits) / 2, and (p + q) o >= p (na + nb) is needed.
+    """
+    if len(x) > len(y):
+        x, y = y, x
+    v, size = int.from_bytes(y, "little"), 8 * len(y)
+    while size > 8 * len(x):  # the upper half adds to the lower without carry
+        size //= 2
+        v = v >> size ^ v & (1 << size) - 1
+    differ = (int.from_bytes(x, "little") ^ v).bit_count()
+    p, q = share
+    return (p + q) * (na + nb - differ) >= 2 * p * (na + nb)
+
+
+def expanded(left: np.ndarray, lo: np.ndarray, hi: np.ndarray, right: np.ndarray, comp: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of each left row with the right rows lo to hi, where the components differ; PAIRS at a time."""
+    count = np.maximum(hi - lo, 0)
+    upto, first = np.cumsum(count), 0
+    while first < len(left):
+        end = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + PAIRS, "right")))
+        c = count[first:end]
+        x = np.repeat(left[first:end], c)
+        y = right[np.repeat(lo[first:end] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
+        on = comp[x] != comp[y]
+        if on.any():
+            both = np.unique(np.sort(np.stack([node[x[on]], node[y[on]]]), 0), axis=1)
+            yield both[0], both[1]
+        first = end
+
+
+WIDE = np.int64(1) << np.int64(40)
+
+
+def banded_pairs(group: np.ndarray, n: np.ndarray, comp: np.ndarray, node: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group, of different components and of sizes that can be similar, each once."""
+    r = np.lexsort((n, group))
+    key = group[r] * WIDE + n[r]
+    hi = np.searchsorted(key, group[r] * WIDE + share[1] * n[r] // share[0], "right")
+    yield from expanded(r, np.arange(1, len(r) + 1), hi, r, comp, node)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[np.ndarray]]:
+    """Columns of consecutive rows in whole groups; a group, equal in the first columns, may go on in the next batch."""
+    held = None
     for batch in batches:
-        bits = [bitmap(np.frombuffer(s.as_buffer(), np.uint64)) for s in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(bits, pa.binary())], names=["node", "n", "bits"])
+        v = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            v = [np.concatenate([x, y]) for x, y in zip(held, v, strict=True)]
+        if not len(v[0]):
+            continue
+        same = np.logical_and.reduce([c == c[-1] for c in v[:by]])
+        cut = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
+        held = [x[cut:] for x in v]
+        if cut:
+            yield [x[:cut] for x in v]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def group_starts(v: list[np.ndarray], by: int) -> np.ndarray:
+    new = np.ones(len(v[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in v[:by]])
+    return new
+
+
+def as_batches(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for s in range(0, len(a), 1 << 18):
+        yield pa.RecordBatch.from_arrays([pa.array(a[s : s + (1 << 18)]), pa.array(b[s : s + (1 << 18)])], names=["a", "b"])
+
+
+def run_pass(share: tuple[int, int]):
+    """Pairs (a, b) of runs, rows (key, n, comp, node) in order of key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v in grouped(batches, 1):
+            new = group_starts(v, 1)
+            at = np.flatnonzero(new)
+            several = np.minimum.reduceat(v[2], at) != np.maximum.reduceat(v[2], at)
+            on = np.repeat(several, np.diff(np.append(at, len(new))))
+            if on.any():
+                for a, b in banded_pairs(np.cumsum(new)[on], *(c[on] for c in v[1:]), share):
+                    yield from as_batches(a, b)
+
+    return run
 
 
 def folded(maps: list[bytes], width: int) -> np.ndarray:
@@ -191,69 +295,95 @@ def folded(maps: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def tile_pairs(n: np.ndarray, maps: list[bytes], comp: np.ndarray, node: np.ndarray, right: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a left and a right row in different components that the size and the bitmap allow to be linked.
-
-    An overlap o reaches the share p / q if (p + q) o >= p (na + nb); bits that differ bound it by (na + nb - bits) / 2.
-    """
+def tile_pairs(n: np.ndarray, comp: np.ndarray, node: np.ndarray, right: np.ndarray, maps: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a left and a right row, of different components, that size and bitmap allow: see possible()."""
     p, q = share
-    left_rows, right_rows = np.flatnonzero(~right), np.flatnonzero(right)
+    lefts, rights = np.flatnonzero(~right), np.flatnonzero(right)
     band = np.floor(np.log(n) / np.log(q / p)).astype(int)
-    found: list[np.ndarray] = []
-    for b in np.unique(band[left_rows]):
-        i = left_rows[band[left_rows] == b]
-        lo, hi = n[i].min() * p, n[i].max() * q
-        j = right_rows[(n[right_rows] * q >= lo) & (n[right_rows] * p <= hi)]
+    found = [np.zeros((2, 0), np.int64)]
+    for b in np.unique(band[lefts]):
+        i = lefts[band[lefts] == b]
+        j = rights[(n[rights] * q >= n[i].min() * p) & (n[rights] * p <= n[i].max() * q)]
         if not len(j):
             continue
-        width = 8 * min(min(len(maps[k]) for k in i), min(len(maps[k]) for k in j))
-        x, y = folded([maps[k] for k in i], width), folded([maps[k] for k in j], width)
+        width = 8 * min(map(len, maps[np.concatenate([i, j])]))
+        x, y = folded(maps[i], width), folded(maps[j], width)
         step = max(1, (1 << 21) // (len(j) * (width // 64)))
         for s in range(0, len(i), step):
             k = i[s : s + step]
             differ = np.bitwise_count(x[s : s + step, None, :] ^ y[None]).sum(2, dtype=np.int64)
             total = n[k][:, None] + n[j][None]
             fine = ((p + q) * (total - differ) >= 2 * p * total) & (comp[k][:, None] != comp[j][None])
+            fine &= (q * n[k][:, None] >= p * n[j][None]) & (q * n[j][None] >= p * n[k][:, None])
             u, v = np.nonzero(fine)
             found.append(np.stack([node[k[u]], node[j[v]]]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     both = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
     return both[0], both[1]
 
 
-def tile_run(share: tuple[int, int]):
-    def run(table: pa.Table) -> pa.Table:
-        n, comp, node = (table[c].to_numpy() for c in ("n", "comp", "node"))
-        a, b = tile_pairs(n, [m.as_py() for c in table["bits"].chunks for m in c], comp, node, table["right"].to_numpy(zero_copy_only=False).astype(bool), share)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def tile_pass(share: tuple[int, int]):
+    """Pairs (a, b) of tiles, rows (key, i, j, n, comp, node, right, bits) in order of the first three."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v in grouped(batches, 3):
+            at = np.append(np.flatnonzero(group_starts(v, 3)), len(v[0]))
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                n, comp, node, right, maps = (c[a:b] for c in v[3:])
+                yield from as_batches(*tile_pairs(n, comp, node, right.astype(bool), maps, share))
 
     return run
 
 
-def open_pairs(runs: DataFrame, known: DataFrame, arrays: DataFrame, share: tuple[int, int], block: int = BLOCK) -> DataFrame:
-    """Pairs of nodes of different components that share a run and pass size and bitmap."""
-    rows = runs.select("key", "node").distinct().join(known.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rows = checkpoint(rows.join(several, "key"))
-    counts = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"))
-    cut = lambda c: F.ceil(c / block).cast("int")
-    counts = counts.select("key", "main", cut(F.col("all")).alias("na"), cut(F.col("all") - F.col("most")).alias("no"))
-    maps = arrays.join(rows.select("node").distinct(), "node", "left_semi").select("node", "n", "set").mapInArrow(bitmap_pass, "node long, n long, bits binary")
-    rows = rows.join(counts, "key").join(maps, "node")
-    spread = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.select("key", spread(1, "na").alias("i"), upto("no").alias("j"), "n", "comp", "node", "bits", F.lit(False).alias("right"))
-    right = rows.where("comp <> main").select("key", upto("na").alias("i"), spread(2, "no").alias("j"), "n", "comp", "node", "bits", F.lit(True).alias("right"))
-    tiles = left.unionByName(right).groupBy("key", "i", "j").applyInArrow(tile_run(share), "a long, b long")
-    return tiles.distinct()
+def open_pairs(runs: DataFrame, known: DataFrame, classes: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs of nodes of different components that share a run and can be similar by their sizes (small runs) or by
+    size and bitmap (tiles)."""
+    rows = runs.join(known, "node", "left").select("key", F.col("n").cast("long").alias("n"), F.coalesce("component", "node").alias("comp"), "node", "small")
+    near = rows.where("small").select("key", "n", "comp", "node").repartition("key").sortWithinPartitions("key")
+    pairs = near.mapInArrow(run_pass(share), "a long, b long")
+
+    rows = rows.where("NOT small").drop("small").distinct()
+    each = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"))
+    rows = checkpoint(rows.join(each.where("comps > 1").drop("comps"), "key"))
+    # members of the largest components against the others of all their runs
+    mine = rows.where("comp = main").select(F.col("main").alias("key"), "n", "comp", "node").distinct()
+    others = rows.where("comp <> main")
+    met = others.select(F.col("main").alias("key"), "n", "comp", "node").distinct()
+    left, right = dealt(mine, met)
+    tiles = left.unionByName(right)
+    # the others of a run among themselves
+    left, right = dealt(others.select("key", "n", "comp", "node"), others.select("key", "n", "comp", "node"))
+    tiles = tiles.withColumn("kind", F.lit(0)).unionByName(left.unionByName(right).withColumn("kind", F.lit(1)))
+    tiles = tiles.join(classes.select("node", "bits"), "node").withColumn("key", F.xxhash64("kind", "key"))
+    tiles = tiles.select("key", "i", "j", "n", "comp", "node", "right", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return pairs.unionByName(tiles.mapInArrow(tile_pass(share), "a long, b long")).distinct()
+
+
+def dealt(left: DataFrame, right: DataFrame, n_left: str = "blocks_left", n_right: str = "blocks_right") -> tuple[DataFrame, DataFrame]:
+    """Rows of both sides of the tiles of each key: blocks i of the left rows by blocks j of the right ones."""
+    blocks = lambda d, name: d.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    cuts = blocks(left, n_left).join(blocks(right, n_right), "key")
+    own = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = left.join(cuts, "key").select("key", own(1, n_left).alias("i"), every(n_right).alias("j"), "n", "comp", "node", F.lit(False).alias("right"))
+    b = right.join(cuts, "key").select("key", every(n_left).alias("i"), own(2, n_right).alias("j"), "n", "comp", "node", F.lit(True).alias("right"))
+    return a, b
+
+
+def partners(runs: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs of a node and the hubs of most of its runs, HUBS at most."""
+    prefix = F.col("n") - F.ceil(F.col("n") * share[0] / share[1]) + 1
+    score = runs.groupBy("node").agg((F.sum("m") / F.first(prefix)).alias("score"))
+    best = runs.select("key", "node").join(score, "node").groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("hub"))
+    votes = runs.select("key", "node").join(best, "key").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("c"))
+    most = votes.groupBy("node").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("c", "hub")))), 1, HUBS).alias("h"))
+    return most.select(F.col("node").alias("a"), F.explode("h.hub").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, share: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where("doc_id IS NOT NULL")
-    first = checkpoint(docs.mapInArrow(node_pass(words), "doc_id long, n long, node long, recurring boolean"))
+    first = checkpoint(docs.mapInArrow(node_pass(words), "doc_id long, n long, node long, recurring boolean, bits binary"))
     everything, recurring = first.where("NOT recurring"), first.where("recurring")
     rows = everything.where("doc_id IS NOT NULL")
     top = recurring.groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "node").limit(HEAVY).collect()  # HEAVY shingles at most
@@ -262,30 +392,23 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: tuple[int, in
     cuts = np.array([max(1, -(-r["n"] // PART)) for r in top], np.int64)[order]
     heavy = heavy[order]
 
-    placed = named.select("text").mapInArrow(prefix_pass(words, heavy, cuts, share), "key long, part int, node long")
+    placed = named.select("text").mapInArrow(prefix_pass(words, heavy, cuts, share), "key long, part int, node long, n int")
     run = Window.partitionBy("key", "part")
-    wide = placed.withColumns({"lo": F.min("node").over(run), "hi": F.max("node").over(run)})
-    several = F.col("lo") < F.col("hi")
+    wide = placed.withColumns({"lo": F.min("node").over(run), "hi": F.max("node").over(run), "m": F.count("*").over(run)})
+    wide, several = wide.withColumn("small", F.col("m") < SMALL), F.col("lo") < F.col("hi")
     if (cuts > 1).any():  # parts of a large run belong together
-        several = several | F.col("key").isin([int(k) for k in heavy[cuts > 1].astype(np.int64)])
-    runs = checkpoint(wide.where(several).select("key", "node", "lo"))
-
-    # one partner for each node: the first node of most of its runs; parts of a large run meet at their first nodes
-    votes = runs.where("node <> lo").groupBy("node", "lo").agg(F.count("*").alias("c"))
-    partner = votes.groupBy("node").agg(F.max_by("lo", F.struct("c", -F.col("lo"))).alias("lo")).select(F.col("node").alias("a"), F.col("lo").alias("b"))
-    if (cuts > 1).any():
-        heads = runs.groupBy("key").agg(F.min("lo").alias("b"))
-        partner = partner.unionByName(runs.select("key", F.col("lo").alias("a")).distinct().join(heads, "key").where("a <> b").select("a", "b")).distinct()
-    nodes = runs.select("node").distinct()
-    classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    ids = classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    arrays = checkpoint(arrays_of(named, ids, words))
+        cut = F.col("key").isin([int(k) for k in heavy[cuts > 1].astype(np.int64)])
+        several, wide = several | cut, wide.withColumn("small", F.col("small") & ~cut)
+    runs = checkpoint(wide.where(several).select("key", "node", "n", "m", "small"))
+    del placed, wide, first
+    partner = partners(runs, share)
+    classes = checkpoint(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")))
     # rows that share a doc_id
     doubled = rows.where("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b < hi")
     doubled = rows.join(doubled, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
 
-    known = components(verified(partner, arrays, share).unionByName(doubled))
-    more = verified(open_pairs(runs, known, arrays, share), arrays, share)
+    known = components(verified(partner, classes, named, words, share).unionByName(doubled))
+    more = verified(open_pairs(runs, known, classes, share), classes, named, words, share)
     known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     labelled = classes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, without its lineage."""
+    """df computed once and kept in the shared folder, without its lineage.
+
+    The collection of garbage lets the context cleaner remove shuffle files that the cut lineage alone needed.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out

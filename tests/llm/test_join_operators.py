@@ -55,6 +55,7 @@ def test_jaccard_near_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 7)
     monkeypatch.setattr(jaccard, "PART", 10)
     monkeypatch.setattr(jaccard, "PAIRS", 50)
+    monkeypatch.setattr(jaccard, "SMALL", 6)
     monkeypatch.setattr(jaccard, "COUNTED", 20_000)
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
