@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL = 20_000
+CELL = 4_096
 
 
 def random_key(seed: int, *columns: str) -> Column:
