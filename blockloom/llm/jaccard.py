@@ -91,7 +91,7 @@ def node_pass(n: int):
 
 
 def prefix_pass(n: int, heavy: np.ndarray, cuts: np.ndarray, share: tuple[int, int]):
-    """(shingle, part, node, size) of each set's prefix; equal sets of a task count once."""
+    """(shingle, part, node, size) of each set's prefix; equal sets of a task count once. Part 0 is a whole run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -119,7 +119,8 @@ def prefix_pass(n: int, heavy: np.ndarray, cuts: np.ndarray, share: tuple[int, i
                 part = np.zeros(len(key), np.int64)
                 if len(heavy):
                     at = np.minimum(np.searchsorted(heavy, key), len(heavy) - 1)
-                    part = np.where(heavy[at] == key, (T.mix(node.astype(np.uint64)) % cuts[at].astype(np.uint64)).astype(np.int64), 0)
+                    cut = (heavy[at] == key) & (cuts[at] > 1)
+                    part = np.where(cut, 1 + (T.mix(node.astype(np.uint64)) % cuts[at].astype(np.uint64)).astype(np.int64), 0)
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(part.astype(np.int32)), pa.array(node), pa.array(np.repeat(np.array(sizes, np.int32), counts))], names=["key", "part", "node", "n"])
 
     return run
@@ -395,11 +396,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: tuple[int, in
     placed = named.select("text").mapInArrow(prefix_pass(words, heavy, cuts, share), "key long, part int, node long, n int")
     run = Window.partitionBy("key", "part")
     wide = placed.withColumns({"lo": F.min("node").over(run), "hi": F.max("node").over(run), "m": F.count("*").over(run)})
-    wide, several = wide.withColumn("small", F.col("m") < SMALL), F.col("lo") < F.col("hi")
-    if (cuts > 1).any():  # parts of a large run belong together
-        cut = F.col("key").isin([int(k) for k in heavy[cuts > 1].astype(np.int64)])
-        several, wide = several | cut, wide.withColumn("small", F.col("small") & ~cut)
-    runs = checkpoint(wide.where(several).select("key", "node", "n", "m", "small"))
+    # parts of a large run belong together, whatever one of them holds
+    wide = wide.withColumn("small", (F.col("m") < SMALL) & (F.col("part") == 0))
+    runs = checkpoint(wide.where("lo < hi OR part > 0").select("key", "node", "n", "m", "small"))
     del placed, wide, first
     partner = partners(runs, share)
     classes = checkpoint(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bits").alias("bits")))
