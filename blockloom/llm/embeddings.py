@@ -3,7 +3,7 @@
 Equal vectors are merged into weighted classes first. Pivots part the unit sphere into cells of nearest pivot. A vector
 whose distance to the border of another cell (the hyperplane midway between two pivots, a bound by the triangle
 inequality) is at most the range is replicated into that cell, so a cell's own vectors meet all their neighbours there
-and cells join independently. Cells are cut into tiles of TILE rows a side, whatever their size; within a tile a float32
+and cells join independently. Cells are cut into tiles of bounded size, whatever their own; within a tile a float32
 product decides all pairs but those within its rounding error of the threshold, which are decided in double precision.
 
 How many pivots pay is estimated on a bounded sample, since in data without clusters borders are everywhere near.
@@ -29,7 +29,8 @@ from blockloom.llm.shared import checkpoint
 COSINE = 0.9
 SAMPLE = 1500
 PIVOTS = (1, 8, 32, 128)
-TILE = 4096
+#: Rows of a tile's side at most, and numbers in it.
+TILE, TILE_NUMBERS = 16384, 1 << 22
 
 
 def lists(column: pa.Array) -> np.ndarray:
@@ -72,8 +73,11 @@ def choose_pivots(sample: np.ndarray, cosine: float) -> np.ndarray:
     return best
 
 
-def tile(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """For each left row the summed weight of the right rows linked with it, and links that connect all that are."""
+def tile(left: np.ndarray, right: np.ndarray, keys: tuple[np.ndarray, np.ndarray], ids: tuple[np.ndarray, np.ndarray], weight: np.ndarray, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """For each left row the summed weight of the right rows linked with it, and links of ids that connect all that are.
+
+    Rows with equal keys are the same class and do not count.
+    """
     lu, ru = unit(left), unit(right)
     l32, r32 = lu.astype(np.float32), ru.astype(np.float32)
     slack = 1e-4 + 1e-6 * left.shape[1]
@@ -86,11 +90,9 @@ def tile(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, weig
         i, j = np.nonzero(np.abs(sim - np.float32(cosine)) <= slack)
         if len(i):
             mask[i, j] = np.einsum("ij,ij->i", lu[s + i], ru[j]) >= cosine
-        mask &= a[s : s + 1024, None] != b[None]
+        mask &= keys[0][s : s + 1024, None] != keys[1][None]
         total[s : s + 1024] = mask @ weight if mask.any() else 0
         i, j = np.nonzero(mask)
-        # links with a row's first partner and, for each partner, with its first row of this block, then the rest only
-        # if they join different components: a union by repeated minimum over the block's links
         rows.append((i + s).astype(np.int32))
         cols.append(j.astype(np.int32))
         if sum(map(len, rows)) > 2_000_000:
@@ -98,7 +100,7 @@ def tile(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, weig
             rows, cols = [], []
     if rows:
         settle(label, np.concatenate(rows), np.concatenate(cols) + len(left))
-    ids = np.concatenate([a, b])
+    ids = np.concatenate(ids)
     moved = np.flatnonzero(label != np.arange(len(label)))
     return total, [*zip(ids[moved].tolist(), ids[label[moved]].tolist(), strict=True)]
 
@@ -131,7 +133,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tile_rows: int =
     classes = checkpoint(good.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("v")).withColumn("dim", F.size("v")))
     made = []
     for dim in sorted(r["dim"] for r in classes.select("dim").distinct().limit(1000).collect()):
-        made.append(links_of(classes.where(F.col("dim") == dim), cosine, tile_rows))
+        made.append(links_of(classes.where(F.col("dim") == dim), cosine, max(1, min(tile_rows, TILE_NUMBERS // dim))))
     found = made[0] if made else spark.createDataFrame([], "a long, b long, c long, w long")
     for x in made[1:]:
         found = found.unionByName(x)
@@ -194,7 +196,7 @@ def links_of(classes: DataFrame, cosine: float, tile_rows: int) -> DataFrame:
         total, links = np.zeros(0, np.int64), []
         if home.num_rows and rest.num_rows:
             left, right = (lists(t["v"].combine_chunks()) for t in (home, rest))
-            total, links = tile(left, right, home["rep"].to_numpy(), rest["rep"].to_numpy(), rest["n"].to_numpy(), cosine)
+            total, links = tile(left, right, (home["k1"].to_numpy(), rest["k1"].to_numpy()), (home["rep"].to_numpy(), rest["rep"].to_numpy()), rest["n"].to_numpy(), cosine)
         on = np.flatnonzero(total)
         none = [None] * len(links)
         k1, k2 = home["k1"].to_numpy()[on].tolist(), home["k2"].to_numpy()[on].tolist()
