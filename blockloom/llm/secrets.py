@@ -1,8 +1,9 @@
 """Secret scans: base patterns, and dictionary-primed zstandard novelty.
 
 Base spans come from three patterns (see PATTERNS). Beyond them, every token of NOVEL_LENGTH or more characters that
-stands within CONTEXT characters after a sensitive word is a candidate. It is compressed with a raw-content dictionary
-of common identifiers and of the text around it, and reported when its marginal compressed size is above NOVELTY of its
+stands within CONTEXT characters after a sensitive word is a candidate. '=' parts tokens unless it pads the end of one,
+so in access_key=V it is V; a token joined to the word itself is none. A run of tokens parted by '=' alone, none of them
+reported, is a candidate as a whole. A candidate is compressed with a raw-content dictionary of common identifiers and of the text around it, and reported when its marginal compressed size is above NOVELTY of its
 length: identifiers and words seen nearby cost a few bytes, random strings cost nearly all of theirs.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned row by row; spans are code-point
@@ -30,6 +31,7 @@ ASSIGNED = ("passw", "secret", "token", "api")
 WORDS = ("passw", "passphrase", "secret", "token", "api", "credential", "auth", "bearer", "key", "signature")
 SENSITIVE = re.compile(r"(?i:pass(?:word|wd|phrase)|secret|token|api.?key|credential|auth|bearer|private.?key|access.?key|signature)")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
+PART = re.compile(r"[A-Za-z0-9+/_-]+(?:=+\Z)?")
 ASSIGN_LENGTH, NOVEL_LENGTH, CONTEXT, NEAR, NOVELTY = 12, 16, 48, 256, 0.9
 IDENTIFIERS = (
     "password passwd passphrase secret token api_key apikey access_key private_key client_secret client_id "
@@ -67,6 +69,15 @@ def novelty(candidate: bytes, near: bytes) -> float:
     return (len(c.compress(candidate)) - len(c.compress(b""))) / len(candidate)
 
 
+def is_novel(text: str, a: int, b: int, base: list[tuple[int, int, int]]) -> bool:
+    if b - a < NOVEL_LENGTH or any(s < b and a < e for s, _, e in base):
+        return False
+    found = text[a:b]
+    if not (any(c.isdigit() for c in found) and any(c.isalpha() for c in found)):
+        return False
+    return novelty(found.encode(), (text[max(0, a - NEAR) : a] + text[b : b + NEAR]).encode()) > NOVELTY
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out, last = [], 0
     for word in SENSITIVE.finditer(text):
@@ -75,13 +86,14 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             if b == word.end() + CONTEXT:  # the token may go on beyond the context
                 b = TOKEN.match(text, a).end()
             last = max(last, b)
-            if b - a < NOVEL_LENGTH or (a and TOKEN.match(text[a - 1])) or any(s < b and a < e for s, _, e in base):
-                continue
-            found = text[a:b]
-            if not (any(c.isdigit() for c in found) and any(c.isalpha() for c in found)):
-                continue
-            if novelty(found.encode(), (text[max(0, a - NEAR) : a] + text[b : b + NEAR]).encode()) > NOVELTY:
-                out.append((a, 3, b))
+            glued = bool(a and TOKEN.match(text[a - 1]))
+            parts = [(a + p.start(), a + p.end()) for p in PART.finditer(text[a:b])]
+            if glued:
+                parts = [p for p in parts if p[0] > a]  # the first one belongs to the word
+            found = [(i, 3, j) for i, j in parts if is_novel(text, i, j, base)]
+            if not found and not glued and is_novel(text, a, b, base):
+                found = [(a, 3, b)]
+            out += found
     return out
 
 

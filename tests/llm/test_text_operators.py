@@ -94,6 +94,17 @@ def test_novel_spans_and_redaction():
     assert secrets.redacted("0123456789ab", spans, "#") == "##ab"
 
 
+@pytest.mark.parametrize("name", ["access_key", "private_key", "passphrase", "credential", "credentials", "Signature", "SECRET_KEY", "AWS_SECRET_ACCESS_KEY", "auth session"])
+def test_novel_values_directly_after_an_assignment(name):
+    value = "Zx9kQ2mV7pLw3RtY8uBn5cD1fH6jS4gK0aEqWvXo"
+    for v, end in ((value, " now"), (value + "==", ";"), (value, ""), (value[:16], "\n")):
+        s = f"set {name}={v}{end}"
+        assert [(s[a:b], secrets.KINDS[k]) for a, k, b in secrets.scan(s)] == [(v, "novel")], s
+    joined = "credential Zx9kQ2mV7p=Lw3RtY8uBn"  # the parts are too short, the run is not
+    assert [joined[a:b] for a, _, b in secrets.scan(joined)] == ["Zx9kQ2mV7p=Lw3RtY8uBn"]
+    assert not secrets.scan(f"set {name}=example_configuration_default_value1 ")
+
+
 def test_secrets_digest(odd):
     for r in secrets.secrets(odd).collect():
         spans = brute_spans(r["text"] or "")
