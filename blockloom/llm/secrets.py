@@ -4,7 +4,10 @@ Base spans come from three patterns (see PATTERNS). Beyond them, every token of
 stands within CONTEXT characters after a sensitive word is a candidate. '=' parts tokens unless it pads the end of one,
 so in access_key=V it is V; a token joined to the word itself is none. A run of tokens parted by '=' alone, none of them
 reported, is a candidate as a whole. A candidate is compressed with a raw-content dictionary of common identifiers and of the text around it, and reported when its marginal compressed size is above NOVELTY of its
-length: identifiers and words seen nearby cost a few bytes, random strings cost nearly all of theirs.
+length: identifiers and words seen nearby cost a few bytes, random strings cost nearly all of theirs. From 64 bytes on
+zstandard's entropy coder shortens random strings of small alphabets too, so a candidate longer than PIECE is also
+reported when any PIECE of it is novel; pieces begin every STEP characters, and one ends the candidate. A candidate that
+base spans leave fewer than NOVEL_LENGTH characters of is not reported again.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned row by row; spans are code-point
 offsets with exclusive ends; equal starts are ordered by kind as in KINDS; extra columns are carried along unless they
@@ -33,6 +36,7 @@ SENSITIVE = re.compile(r"(?i:pass(?:word|wd|phrase)|secret|token|api.?key|creden
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
 PART = re.compile(r"[A-Za-z0-9+/_-]+(?:=+\Z)?")
 ASSIGN_LENGTH, NOVEL_LENGTH, CONTEXT, NEAR, NOVELTY = 12, 16, 48, 256, 0.9
+PIECE, STEP = 48, 24
 IDENTIFIERS = (
     "password passwd passphrase secret token api_key apikey access_key private_key client_secret client_id "
     "authorization authenticate bearer credential signature session_id user_id username account default "
@@ -63,19 +67,27 @@ def compressor(near: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def novelty(candidate: bytes, near: bytes) -> float:
-    """Marginal compressed bytes of the candidate, after its surroundings and the identifiers, over its length."""
+def novelty(candidate: bytes, near: bytes) -> Iterator[float]:
+    """Marginal compressed bytes of the candidate, and of its pieces, after its surroundings and the identifiers, over the length."""
     c = compressor(near) if near else identifier_cost()
-    return (len(c.compress(candidate)) - len(c.compress(b""))) / len(candidate)
+    least = len(c.compress(b""))
+    yield (len(c.compress(candidate)) - least) / len(candidate)
+    if len(candidate) > PIECE:
+        for i in (*range(0, len(candidate) - PIECE, STEP), len(candidate) - PIECE):
+            yield (len(c.compress(candidate[i : i + PIECE])) - least) / PIECE
 
 
 def is_novel(text: str, a: int, b: int, base: list[tuple[int, int, int]]) -> bool:
-    if b - a < NOVEL_LENGTH or any(s < b and a < e for s, _, e in base):
+    bare, at = 0, a  # characters outside base spans
+    for s, _, e in base:
+        bare += max(0, min(s, b) - at)
+        at = max(at, min(e, b))
+    if bare + b - at < NOVEL_LENGTH:
         return False
     found = text[a:b]
     if not (any(c.isdigit() for c in found) and any(c.isalpha() for c in found)):
         return False
-    return novelty(found.encode(), (text[max(0, a - NEAR) : a] + text[b : b + NEAR]).encode()) > NOVELTY
+    return any(x > NOVELTY for x in novelty(found.encode(), (text[max(0, a - NEAR) : a] + text[b : b + NEAR]).encode()))
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -105,6 +105,22 @@ def test_novel_values_directly_after_an_assignment(name):
     assert not secrets.scan(f"set {name}=example_configuration_default_value1 ")
 
 
+@pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789"])
+def test_novel_spans_of_any_length(alphabet):
+    rng = random.Random(9)
+    for n in (40, 48, 49, 63, 64, 80, 128, 256, 300, 1000, 5000):
+        for _ in range(10):
+            value = "".join(rng.choice(alphabet) for _ in range(n - 2)) + alphabet[-1] + "7"
+            s = f"the bearer sent {value} and went on with the rest of the words"
+            assert [s[a:b] for a, k, b in secrets.scan(s) if k == 3] == [value]
+    for word in ("example_configuration_default_value1_", "wxyz1234", "production/development/staging/localhost1/"):
+        s = "the bearer sent " + word * 40
+        assert not secrets.scan(s), s
+    some = "".join(rng.choice("GHIJKLMNOPQRSTUVWXYZ") for _ in range(40))
+    s = f"the bearer sent {some}0123456789012345 and {some[:10]}0123456789012345"
+    assert secrets.scan(s) == [(16, 3, 72), (56, 2, 72), (87, 2, 103)]  # a base span inside does not hide the rest
+
+
 def test_secrets_digest(odd):
     for r in secrets.secrets(odd).collect():
         spans = brute_spans(r["text"] or "")
