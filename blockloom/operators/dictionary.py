@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD_MIN, WORD_MAX = 3, 50
@@ -32,17 +33,36 @@ def candidates(frequency: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     return out.where((F.col("n") * F.col("len") > least) & (F.col("n") > 1)).withColumn("weight", (F.col("n") - 1) * (F.col("len") - 1))
 
 
-def ranked(chosen: DataFrame, most: int = 100_000) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
+    """df checkpointed in the session's spark.checkpoint.dir, or in a temporary folder where that is unset."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
+def ranked(chosen: DataFrame) -> DataFrame:
     """Candidates in dictionary order with rank, code bytes and what each saves: word, rank, saving, total_saving.
 
-    The best `most` words are ranked; the limit is found with partial sorts before they meet in one window.
+    Ranks and running sums are two-level: ranges of the order are the parts, and only rows of one part meet in a window.
+    The parts are checkpointed, since another run of the range partitioning could draw other bounds.
     """
     by = [F.desc("weight"), F.desc("len"), F.desc("word")]
-    order = Window.orderBy(*by)
-    out = chosen.orderBy(*by).limit(most).withColumn("rank", F.row_number().over(order) - 1)
+    inside = Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+    def after(rows: DataFrame, value: Column) -> DataFrame:
+        """rows with column _before: the sum of value over all earlier parts."""
+        sums = rows.groupBy("_part").agg(F.sum(value).alias("_sum"))
+        sums = sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+        return rows.join(F.broadcast(sums), "_part")  # a row for each part
+
+    rows = kept(chosen.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    out = after(rows, F.lit(1)).withColumn("rank", F.row_number().over(inside) - 1 + F.col("_before")).drop("_before")
     code = F.when(F.col("rank") == 0, 1).when(F.col("rank") < BASE, 2).when(F.col("rank") < BASE**2, 3).when(F.col("rank") < BASE**3, 4).otherwise(5)
     out = out.withColumn("saving", F.col("n") * F.col("len") - F.col("len") - F.col("n") * code).where("saving > 0")
-    return out.withColumn("total_saving", F.sum("saving").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = after(out, F.col("saving")).withColumn("total_saving", F.sum("saving").over(inside) + F.col("_before"))
+    return out.drop("_part", "_before")
 
 
 ESCAPE, WORD, UPPER, DIGITS = b"\x01", b"\x02", b"\x03", b"\x04"

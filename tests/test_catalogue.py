@@ -64,3 +64,22 @@ def test_stride_and_cuts(spark, sf):
     assert {r["stride"] for r in catalogue.stride_choice(spark, sf).collect()} <= set(range(2, 9))
     cuts = catalogue.type_change_cuts(spark, sf).collect()
     assert all(r["bytes"] >= 0 and r["n"] > 0 for r in cuts)
+
+
+def test_all_candidates_are_ranked(spark):
+    from pyspark.sql import functions as F
+
+    from blockloom.operators import dictionary
+
+    n = 110_000  # more than were ranked once; ties in weight, and in weight and length
+    rows = spark.range(n).select(F.format_string("w%07d", "id").alias("word"), (F.lit(600) + F.col("id") * 7919 % 900).alias("n"), F.lit(8).cast("long").alias("len"))
+    rows = rows.unionByName(spark.createDataFrame([("long word", 4501, 2)], "word string, n long, len long"))  # saves nothing at its rank
+    rows = rows.withColumn("weight", (F.col("n") - 1) * (F.col("len") - 1))
+    want, total = [], 0
+    for rank, r in enumerate(sorted(rows.collect(), key=lambda r: (r["weight"], r["len"], r["word"].encode()), reverse=True)):
+        saving = r["n"] * r["len"] - r["len"] - r["n"] * (1 if rank == 0 else 2 if rank < 217 else 3 if rank < 217**2 else 4)
+        if saving > 0:
+            total += saving
+            want.append((r["word"], rank, saving, total))
+    got = dictionary.ranked(rows).select("word", "rank", "saving", "total_saving").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want and len(want) == n
