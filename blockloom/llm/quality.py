@@ -47,13 +47,14 @@ def repeats(words: np.ndarray, doc: np.ndarray, salt: np.ndarray, n: int) -> np.
 
 def lines(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of the lines of all documents, in order; ends leave out the newline."""
-    ends = np.sort(np.concatenate([np.flatnonzero(raw == 10), off[1:]]), kind="stable")
-    starts = np.empty_like(ends)
-    starts[0] = 0
-    # after a newline the next line starts one byte on; after a document's end it starts there
-    is_end = np.zeros(len(ends), bool)
-    is_end[np.searchsorted(ends, off[1:], "right") - 1] = True
-    starts[1:] = np.where(is_end[:-1], ends[:-1], ends[:-1] + 1)
+    feeds = np.flatnonzero(raw == 10)
+    doc = np.searchsorted(off, feeds, "right") - 1  # the document that holds each newline
+    starts, ends = np.empty((2, len(feeds) + len(off) - 1), np.int64)
+    # a document has one line more than newlines; its first line starts with it and its last one ends with it
+    at = np.arange(len(feeds)) + doc
+    ends[at], starts[at + 1] = feeds, feeds + 1
+    before = np.searchsorted(feeds, off) + np.arange(len(off))
+    starts[before[:-1]], ends[before[1:] - 1] = off[:-1], off[1:]
     return starts, ends
 
 

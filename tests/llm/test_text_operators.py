@@ -57,6 +57,17 @@ def test_quality_lines_without_end():
     assert quality.measure(raw, off)[3].tolist() == [0, 0, 0, 0]
 
 
+def test_quality_lines_of_texts_that_begin_with_newlines():
+    texts = ["ab", "\nxy zz\nxy zz", "", "\n\nq\nq\n", "\n", "q"]
+    rng = random.Random(6)
+    texts += ["".join(rng.choice("\n\nab ") for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *map(len, texts)])
+    got = np.stack(quality.measure(raw, off), 1).tolist()
+    assert got[1][3] == got[3][3] == 1
+    assert got == [brute_quality(t) for t in texts]
+
+
 def test_empty_and_clashing(spark, none, odd):
     assert quality.quality(none).count() == 0 and secrets.secrets(none).count() == 0 and sp.pieces(none, MODEL).count() == 0
     clash = odd.withColumns({"kept": F.lit("x"), "spans": F.lit(1), "ids": F.lit("i"), "lang_pred": F.lit(0), "n_words": F.lit("w"), "a b": F.lit(1)})
