@@ -230,12 +230,12 @@ NEW = ["ids array<int>", "n_tokens long", "ids_sha256 string", "decoded string",
 PART = 1 << 20
 
 
-def pieces(docs: DataFrame, model_file: str, digests_only: bool = False, decode: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, model_file: str, digests_only: bool = False) -> DataFrame:
     """docs with ids, n_tokens, the digest of the ids, the decoded text and its digest.
 
-    digests_only leaves out the ids and the decoded text; decode=False leaves out decoding and its columns.
+    digests_only leaves out the ids and the decoded text.
     """
-    new = [x for x in NEW if not (digests_only and x.split()[0] in ("ids", "decoded")) and (decode or not x.startswith("decoded"))]
+    new = [x for x in NEW if not (digests_only and x.split()[0] in ("ids", "decoded"))]
     made = [x.split()[0] for x in new]
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in made))
     at = [c.lower() for c in docs.columns].index("text")
@@ -250,12 +250,10 @@ def pieces(docs: DataFrame, model_file: str, digests_only: bool = False, decode:
                 part = batch.slice(a, b - a)
                 own = enc.encode(part.column(at).to_pylist())
                 columns = {"n_tokens": pa.array([len(x) // 4 for x in own], pa.int64()), "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in own], pa.string())}
-                if decode:
-                    texts = enc.sp.decode([np.frombuffer(x, "<u4").tolist() for x in own], num_threads=1)
-                    columns["decoded_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())
-                    if not digests_only:
-                        columns["decoded"] = pa.array(texts, pa.string())
+                texts = enc.sp.decode([np.frombuffer(x, "<u4").tolist() for x in own], num_threads=1)
+                columns["decoded_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())
                 if not digests_only:
+                    columns["decoded"] = pa.array(texts, pa.string())
                     off = np.cumsum([0, *(len(x) // 4 for x in own)]).astype(np.int32)
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(own), "<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(columns[n] for n in made)], names=[*part.schema.names, *made])

@@ -4,7 +4,7 @@
 2. near_duplicates: of each group of documents linked by n-gram Jaccard similarity, the smallest doc_id stays.
 3. secrets: every secret span in a text is replaced by a mark; n_chars follows.
 4. mixture: documents are repeated or left out so that the sources' words come near their targets.
-5. tokens: texts become sentencepiece ids.
+5. tokens: texts become sentencepiece ids, and these are decoded again.
 
 All but the last return the columns of documents. ORACLE_SQL is None: hashing orders, zstandard and the tokenizer have no
 SQL; tests hold the stages against brute force instead.
@@ -53,7 +53,7 @@ def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(MODEL), decode=False).drop("text")
+    return pieces(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(MODEL)).drop("text")
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("secrets", secret_stage), ("mixture", mixture_stage), ("tokens", token_stage)]

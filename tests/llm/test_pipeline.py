@@ -1,5 +1,6 @@
 """The pipeline's stages against the operators' brute force."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -49,6 +50,16 @@ def test_stages(spark, sf):
         assert r["ids"] == sp.encode(clean[r["doc_id"]], add_bos=True, add_eos=True)
 
 
+def test_tokens_are_decoded(spark, odd, sf):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(corpus_pipeline.MODEL))
+    rows = corpus_pipeline.token_stage(spark, odd, sf).collect()
+    assert len(rows) == odd.count()
+    for r in rows:
+        assert r["decoded"] == sp.decode(r["ids"]) and r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
+
+
 def test_odd_rows_go_through(spark, odd, none, sf):
     for start in (odd, none):
         docs = start
