@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm import text as T
@@ -124,15 +124,21 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str]) -> Model:
 
 
 def sample(docs: DataFrame, rows: int) -> DataFrame:
-    """At most rows labelled rows, about as many of each language, chosen by a hash of the row."""
+    """At most rows different labelled rows, about as many of each language, chosen by a hash of the row.
+
+    Copies count once. Of more than rows languages, those with the most different rows are taken, ties by name.
+    """
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.shiftrightunsigned(F.xxhash64("text", "lang"), 1).alias("_h"))
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(rows).collect()}
+    counts = docs.select("lang", "_h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    counts = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(rows).collect()}
     if not counts:
         return docs.drop("_h").limit(0)
     each = max(1, rows // len(counts))
     limits = docs.sparkSession.createDataFrame([(k, min(1.0, 0.9 * each / n) * 2.0**63) for k, n in counts.items()], "_l string, _most double")
     chosen = docs.join(F.broadcast(limits), F.col("lang") == F.col("_l")).where(F.col("_h") <= F.col("_most"))  # rows languages at most
-    return chosen.select("lang", "text", "_h").orderBy("_h").limit(rows).drop("_h")
+    chosen = chosen.groupBy("lang", "_h").agg(F.first("text").alias("text"))
+    chosen = chosen.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_r") <= each)
+    return chosen.select("lang", "text", "_h").orderBy("_h").limit(rows).drop("_h")  # no more than rows are left before the limit
 
 
 def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:

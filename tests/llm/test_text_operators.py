@@ -179,6 +179,17 @@ def test_language_id_holds_out(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_id_sample_counts_copies_once(spark):
+    rows = [("en", f"text {c}") for c in "abcdefghij" for _ in range(400)] + [("de", f"wort {i}") for i in range(30)] + [("fr", f"mot {i}") for i in range(5)]
+    got = Counter((r["lang"], r["text"]) for r in langid.sample(spark.createDataFrame(rows, "lang string, text string"), 60).collect())
+    assert max(got.values()) == 1
+    n = Counter(lang for lang, _ in got)
+    assert n["en"] == 10 and n["fr"] == 5 and 8 < n["de"] <= 20
+    many = [(f"l{i:03}", "a b") for i in range(50)] + [("zz", f"c {i}") for i in range(9)]
+    got = langid.sample(spark.createDataFrame(many, "lang string, text string").repartition(4), 3).collect()
+    assert {r["lang"] for r in got} <= {"zz", "l000", "l001"}
+
+
 def test_language_id_odd_rows(odd, none):
     model = langid.learn(odd.select("lang", "text"))
     for r in langid.predict(odd, model).collect():
