@@ -31,6 +31,8 @@ SAMPLE = 1500
 PIVOTS = (1, 8, 32, 128)
 #: Rows of a tile's side at most, and numbers in it.
 TILE, TILE_NUMBERS = 16384, 1 << 22
+#: Dimensions, those of the most classes, that have pivots of their own; all others are joined in one pass without pivots.
+LISTED = 1000
 
 
 def lists(column: pa.Array) -> np.ndarray:
@@ -121,7 +123,7 @@ def settle(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = short
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tile_rows: int = TILE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tile_rows: int = TILE, listed: int = LISTED) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     v = F.col("embedding")
@@ -132,8 +134,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tile_rows: int =
     good = rows.where("fine")
     classes = checkpoint(good.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("v")).withColumn("dim", F.size("v")))
     made = []
-    for dim in sorted(r["dim"] for r in classes.select("dim").distinct().limit(1000).collect()):
+    dims = [r["dim"] for r in classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(listed + 1).collect()]
+    for dim in sorted(dims[:listed]):
         made.append(links_of(classes.where(F.col("dim") == dim), cosine, max(1, min(tile_rows, TILE_NUMBERS // dim))))
+    if len(dims) > listed:
+        made.append(rare_links(classes.where(~F.col("dim").isin(dims[:listed])), cosine, tile_rows))
     found = made[0] if made else spark.createDataFrame([], "a long, b long, c long, w long")
     for x in made[1:]:
         found = found.unionByName(x)
@@ -150,6 +155,35 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tile_rows: int =
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+def joined(table: pa.Table, cosine: float) -> pa.Table:
+    """Links and weights of one tile, whose rows are at home or copies."""
+    home = table.filter(table["home"])
+    rest = table.filter(pa.compute.invert(table["home"]))
+    total, links = np.zeros(0, np.int64), []
+    if home.num_rows and rest.num_rows:
+        left, right = (lists(t["v"].combine_chunks()) for t in (home, rest))
+        total, links = tile(left, right, (home["k1"].to_numpy(), rest["k1"].to_numpy()), (home["rep"].to_numpy(), rest["rep"].to_numpy()), rest["n"].to_numpy(), cosine)
+    on = np.flatnonzero(total)
+    none = [None] * len(links)
+    k1, k2 = home["k1"].to_numpy()[on].tolist(), home["k2"].to_numpy()[on].tolist()
+    return pa.table({
+        "a": pa.array([*(x for x, _ in links), *k1], pa.int64()), "b": pa.array([*(y for _, y in links), *[None] * len(on)], pa.int64()),
+        "c": pa.array([*none, *k2], pa.int64()), "w": pa.array([*none, *total[on].tolist()], pa.int64()),
+    })
+
+
+def rare_links(classes: DataFrame, cosine: float, tile_rows: int) -> DataFrame:
+    """As links_of, for classes of any dimensions at once: a dimension is one cell, cut into tiles, without pivots."""
+    most = F.greatest(F.lit(1), F.least(F.lit(tile_rows), F.expr(f"{TILE_NUMBERS} div dim")))
+    cuts = classes.groupBy("dim").agg(F.count("*").alias("_n")).select("dim", F.ceil(F.col("_n") / most).alias("_cuts"))
+    rows = classes.join(cuts, "dim")
+    own, step = F.pmod("k1", "_cuts"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1))
+    kept = ("k1", "k2", "rep", "n", "v")
+    homes = rows.select("dim", own.alias("h"), step.alias("a"), F.lit(True).alias("home"), *kept)
+    copies = rows.select("dim", step.alias("h"), own.alias("a"), F.lit(False).alias("home"), *kept)
+    return homes.unionByName(copies).groupBy("dim", "h", "a").applyInArrow(lambda table: joined(table, cosine), "a long, b long, c long, w long")
+
+
 def links_of(classes: DataFrame, cosine: float, tile_rows: int) -> DataFrame:
     """Connecting links (a, b) and summed weights (a, c, w by class key) of classes of one dimension."""
     taken = classes.orderBy("k1", "k2").limit(SAMPLE).select("v").collect()  # SAMPLE rows
@@ -190,20 +224,5 @@ def links_of(classes: DataFrame, cosine: float, tile_rows: int) -> DataFrame:
                         names=["cell", "h", "a", "home", "k1", "k2", "rep", "n", "v"],
                     )
 
-    def joined(table: pa.Table) -> pa.Table:
-        home = table.filter(table["home"])
-        rest = table.filter(pa.compute.invert(table["home"]))
-        total, links = np.zeros(0, np.int64), []
-        if home.num_rows and rest.num_rows:
-            left, right = (lists(t["v"].combine_chunks()) for t in (home, rest))
-            total, links = tile(left, right, (home["k1"].to_numpy(), rest["k1"].to_numpy()), (home["rep"].to_numpy(), rest["rep"].to_numpy()), rest["n"].to_numpy(), cosine)
-        on = np.flatnonzero(total)
-        none = [None] * len(links)
-        k1, k2 = home["k1"].to_numpy()[on].tolist(), home["k2"].to_numpy()[on].tolist()
-        return pa.table({
-            "a": pa.array([*(x for x, _ in links), *k1], pa.int64()), "b": pa.array([*(y for _, y in links), *[None] * len(on)], pa.int64()),
-            "c": pa.array([*none, *k2], pa.int64()), "w": pa.array([*none, *total[on].tolist()], pa.int64()),
-        })
-
     tiles = classes.select("k1", "k2", "rep", "n", "v").mapInArrow(dealt, "cell int, h int, a int, home boolean, k1 long, k2 long, rep long, n long, v array<double>")
-    return tiles.groupBy("cell", "h", "a").applyInArrow(joined, "a long, b long, c long, w long")
+    return tiles.groupBy("cell", "h", "a").applyInArrow(lambda table: joined(table, cosine), "a long, b long, c long, w long")

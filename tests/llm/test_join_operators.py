@@ -130,6 +130,20 @@ def test_embeddings_against_brute_force(spark, monkeypatch, clustered):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_unlisted_dimensions(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for dim, n in ((4, 60), (3, 50), (5, 40), (7, 2), (9, 1)):
+        base = rng.normal(size=(max(1, n // 4), dim))
+        rows += [(len(rows) + i, [float(x) for x in base[i % len(base)] + rng.normal(size=dim) * 0.05]) for i in range(n)]
+    rows.append((len(rows), rows[70][1]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_vectors(rows)
+    for listed in (1, 2, 5):
+        got = embeddings.near_duplicates(df, tile_rows=16, listed=listed).collect()
+        assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want
+
+
 def test_mixing_targets():
     assert mixing.targets([100, 100, 100], (5, 2, 1)) == pytest.approx([187.5, 75, 37.5])
     assert mixing.targets([10, 1000, 0], (5, 2, 1)) == pytest.approx([30, 980, 0])
