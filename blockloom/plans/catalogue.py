@@ -489,12 +489,13 @@ def similar_blocks(spark, sf_dir):
 
 @query()
 def delta_saving(spark, sf_dir):
-    """Patches of first blocks of documents against the block that one of their segment candidates begins with."""
+    """Patches of blocks against the block of a segment candidate: the first at the same position, or else the first anywhere."""
     rows = segmented(spark, sf_dir)
-    pairs = similarity.segment_candidates(similarity.segment_sketches(rows)).where("segment_id = ref_segment").select("stream_id", "segment_id", "ref_stream").groupBy("stream_id", "segment_id").agg(F.min("ref_stream").alias("ref_stream"))
+    place = F.struct((F.col("segment_id") != F.col("ref_segment")).alias("moved"), "ref_stream", "ref_segment")
+    pairs = similarity.segment_candidates(similarity.segment_sketches(rows)).groupBy("stream_id", "segment_id").agg(F.min(place).alias("r")).select("stream_id", "segment_id", "r.ref_stream", "r.ref_segment")
     data = blocks(spark, sf_dir, BLOCK, data=True).select("stream_id", F.col("block_no").alias("segment_id"), "data")  # PER_SEGMENT small blocks make one
-    old = data.select(F.col("stream_id").alias("ref_stream"), "segment_id", F.col("data").alias("old"))
-    both = pairs.join(data.withColumnRenamed("data", "new"), ["stream_id", "segment_id"]).join(old, ["ref_stream", "segment_id"])
+    old = data.select(F.col("stream_id").alias("ref_stream"), F.col("segment_id").alias("ref_segment"), F.col("data").alias("old"))
+    both = pairs.join(data.withColumnRenamed("data", "new"), ["stream_id", "segment_id"]).join(old, ["ref_stream", "ref_segment"])
     return as_doc(delta.patches(both.withColumnRenamed("segment_id", "block_no")))
 
 

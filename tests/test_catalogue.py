@@ -40,6 +40,20 @@ def test_patches_fit(spark, sf):
     assert rows and all(r["fits"] for r in rows)
 
 
+def test_every_block_with_a_candidate_has_a_patch(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    a, b, c = ("".join(rng.choice("abcdefghij klmnop") for _ in range(catalogue.BLOCK)) for _ in range(3))
+    rows = [(1, a + b), (2, b + c), (3, b.upper()), (4, c + a), (5, b + "x")]  # most stand at another position
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(r["doc_id"], r["segment_id"]) for r in catalogue.segment_candidates(spark, str(tmp_path)).collect()}
+    got = catalogue.delta_saving(spark, str(tmp_path)).collect()
+    assert {(2, 0), (4, 0), (4, 1), (5, 0)} <= want
+    assert {(r["doc_id"], r["block_no"]) for r in got} == want and len(got) == len(want)
+    assert all(r["fits"] and r["used"] for r in got)
+
+
 def test_similar_blocks_are_found(spark):
     from pyspark.sql import functions as F
 
