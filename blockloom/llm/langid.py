@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm import text as T
+from blockloom.llm.shared import carried, extended, tidied
 
 ORDERS = (1, 2, 3)
 BITS = 10
@@ -177,12 +178,12 @@ def learn(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score and ambiguous."""
-    made = ("lang_pred", "score", "ambiguous", "_letter")
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in made))
+    made = ("lang_pred", "score", "ambiguous")
+    docs, columns = carried(docs, ("text",), made)
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "ambiguous": F.lit(True)})
-    at = [c.lower() for c in docs.columns].index("text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double, ambiguous boolean"])
+        return docs.select(*columns(docs), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
+    at = docs.columns.index("text")
+    schema = extended(docs, "lang_pred string, score double, ambiguous boolean")
     docs = docs.withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +197,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 values = [pa.array(np.where(on, names[best], UNKNOWN), pa.string()), pa.array(np.where(on, score, 0.0)), pa.array(~on | (lead < AMBIGUOUS))]
                 yield pa.RecordBatch.from_arrays([*rest, *values], names=[*batch.schema.names[:-1], "lang_pred", "score", "ambiguous"])
 
-    return docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(tidied(run), schema)
+    return out.select(*columns(out), *made)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -46,6 +46,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def forget() -> None:
+    """Drops the powers that are kept; a later call makes them anew."""
+    _powers.clear()
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of consecutive slices; nulls are empty texts."""
     if isinstance(texts, pa.ChunkedArray):
