@@ -12,14 +12,16 @@ run unless they fill most of a document.
 3. Each node is compared with a few partners, the hubs of most of its runs. The hub of a run is its node whose prefix
    is shared most, which in a group of near copies is the text that the others vary. This alone joins most of a large
    group, and connected components of it are the start.
-4. Only runs that hold several components are looked at further. Pairs of a run of fewer than SMALL nodes are listed
-   within the band of sizes that the similarity allows. Larger runs become tiles, in blocks of BLOCK nodes a side: all
-   runs with the same largest component share the tiles of its members against the other nodes, and the other nodes of
-   a run have tiles of their own. So what is dealt out grows with the nodes that are not joined yet.
+4. Only runs that hold several components are looked at further, as tiles. A run of fewer than SMALL nodes is one tile;
+   runs of the same nodes are the same tile. Larger runs become tiles of BLOCK nodes a side: all runs with the same
+   largest component share the tiles of its members against the other nodes, and the other nodes of a run have tiles of
+   their own. So what is dealt out grows with the nodes that are not joined yet.
 
-In 3 and 4 pairs pass a bitmap, the parities of shingle hashes over at least twice as many bits as the set has members;
-the bits that differ bound the overlap from above. Tiles do this band by band in numpy. Only sets of nodes in pairs that
-pass are fetched as sorted arrays, and intersected exactly. The links close the components.
+In 3 and 4 pairs pass the band of sizes that the similarity allows and a bitmap, the parities of shingle hashes over at
+least twice as many bits as the set has members; the bits that differ bound the overlap from above. Both are tested in
+numpy where the nodes of a tile, or a hub and a block of its partners, lie together. Only sets of nodes in pairs that
+pass are fetched as sorted arrays, and intersected exactly; a hub's set goes once to each block of its partners.
+The links close the components.
 
 No pair of different components that share a run is left out, so the result is exact, but for collisions of 64-bit
 hashes (expected: fewer than one in 10**9 documents). Links inside a component that is known already are not sought.
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 
 from blockloom.llm import text as T
 from blockloom.llm.components import components
-from blockloom.llm.shared import checkpoint
+from blockloom.llm.shared import checkpoint, tidied
 
 WORDS = 5
 SIMILARITY = (75, 100)
@@ -140,17 +142,16 @@ def array_pass(n: int):
 
 
 def arrays_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """node and set (sorted 64-bit hashes) of the documents with these ids.
+    """node and set (sorted 64-bit hashes) of the documents with these ids, and of few others.
 
-    A filter of 2**FILTER_BITS bits, as a table of 2**(FILTER_BITS - 6) words at most, keeps most other texts out of
-    the shuffle.
+    A filter of 2**FILTER_BITS bits, as a table of 2**(FILTER_BITS - 6) words at most, keeps out most other texts, so
+    that no text is shuffled.
     """
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
     words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits"))
     docs = docs.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(words), "word")
     docs = docs.where(F.expr("shiftrightunsigned(bits, CAST(bit % 64 AS INT)) & 1L = 1L"))
-    found = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
-    return found.mapInArrow(array_pass(n), "node long, set binary")
+    return docs.select("text").mapInArrow(tidied(array_pass(n)), "node long, set binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -162,32 +163,63 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that size and bitmap allow and whose sets have the similarity; b may be the same in many."""
-    one = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}"))
-    close = share[1] * F.least("na", "nb") >= share[0] * F.greatest("na", "nb")
-    both = pairs.join(one("b"), "b").join(one("a"), "a").where(close).select("a", "b", "na", "nb", "bits_a", "bits_b")
+def by_hub(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Rows (hub, block, a, values of a), in order, for the pairs (a, b) of nodes, where b is the hub.
+
+    A hub's own row comes first, once for each block of its pairs, with a null.
+    """
+    blocks = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    some = [c for c in values.columns if c != "node"]
+    own = blocks.join(values.withColumnRenamed("node", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("a"), *some)
+    met = pairs.join(values.withColumnRenamed("node", "a"), "a").withColumnRenamed("b", "hub").join(blocks, "hub")
+    met = met.select("hub", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), "a", *some)
+    return own.unionByName(met).repartition("hub", "block").sortWithinPartitions("hub", "block", F.asc_nulls_first("a"))
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def hub_pass(linked):
+    """Pairs (a, b) of rows of by_hub for which linked(values of the hubs, values of the others) is true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, None
         for batch in batches:
-            keep = [possible(na.as_py(), nb.as_py(), x.as_py(), y.as_py(), share) for na, nb, x, y in zip(*batch.columns[2:], strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keys, first = batch.column(0).to_numpy(), batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            columns = [c.to_pylist() for c in batch.columns[3:]]
+            rows, hubs, theirs = [], [], []
+            for i, (key, is_hub) in enumerate(zip(keys.tolist(), first.tolist(), strict=True)):
+                if is_hub:
+                    hub, own = key, tuple(c[i] for c in columns)
+                elif hub == key:
+                    rows.append(i)
+                    hubs.append(own)
+                    theirs.append(tuple(c[i] for c in columns))
+            keep = np.array(rows, np.int64)[np.fromiter((linked(x, y) for x, y in zip(hubs, theirs, strict=True)), bool, len(rows))]
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(keep)), pa.array(keys[keep])], names=["a", "b"])
+
+    return run
+
+
+def bounded(pairs: DataFrame, classes: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs that sizes and bitmaps allow."""
+    p, q = share
+
+    def linked(x: tuple, y: tuple) -> bool:
+        return q * min(x[0], y[0]) >= p * max(x[0], y[0]) and possible(x[0], y[0], x[1], y[1], share)
 
-    pairs = checkpoint(both.mapInArrow(bounded, "a long, b long"))
+    return by_hub(pairs, classes.select("node", "n", "bits")).mapInArrow(tidied(hub_pass(linked)), "a long, b long")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity; b may be the same in many."""
+    pairs = checkpoint(pairs)
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     arrays = checkpoint(arrays_of(docs, classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), n))
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for sa, sb in zip(batch.column(2), batch.column(3), strict=True):
-                sa, sb = np.frombuffer(sa.as_buffer(), np.uint64), np.frombuffer(sb.as_buffer(), np.uint64)
-                o = overlap(sa, sb)
-                keep.append(share[1] * o >= share[0] * (len(sa) + len(sb) - o))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def linked(x: tuple, y: tuple) -> bool:
+        sa, sb = np.frombuffer(x[0], np.uint64), np.frombuffer(y[0], np.uint64)
+        o = overlap(sa, sb)
+        return share[1] * o >= share[0] * (len(sa) + len(sb) - o)
 
-    sets = lambda c: arrays.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
-    return pairs.join(sets("b"), "b").join(sets("a"), "a").select("a", "b", "sa", "sb").mapInArrow(compared, "a long, b long")
+    return by_hub(pairs, arrays).mapInArrow(tidied(hub_pass(linked)), "a long, b long")
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -213,31 +245,24 @@ def possible(na: int, nb: int, x: bytes, y: bytes, share: tuple[int, int]) -> bo
     return (p + q) * (na + nb - differ) >= 2 * p * (na + nb)
 
 
-def expanded(left: np.ndarray, lo: np.ndarray, hi: np.ndarray, right: np.ndarray, comp: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Nodes of each left row with the right rows lo to hi, where the components differ; PAIRS at a time."""
-    count = np.maximum(hi - lo, 0)
-    upto, first = np.cumsum(count), 0
-    while first < len(left):
-        end = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + PAIRS, "right")))
-        c = count[first:end]
-        x = np.repeat(left[first:end], c)
-        y = right[np.repeat(lo[first:end] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
-        on = comp[x] != comp[y]
-        if on.any():
-            both = np.unique(np.sort(np.stack([node[x[on]], node[y[on]]]), 0), axis=1)
-            yield both[0], both[1]
-        first = end
-
-
 WIDE = np.int64(1) << np.int64(40)
 
 
-def banded_pairs(group: np.ndarray, n: np.ndarray, comp: np.ndarray, node: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one group, of different components and of sizes that can be similar, each once."""
+def banded_pairs(group: np.ndarray, n: np.ndarray, comp: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row numbers of one group, of different components and of sizes that can be similar; PAIRS at a time."""
     r = np.lexsort((n, group))
     key = group[r] * WIDE + n[r]
-    hi = np.searchsorted(key, group[r] * WIDE + share[1] * n[r] // share[0], "right")
-    yield from expanded(r, np.arange(1, len(r) + 1), hi, r, comp, node)
+    lo = np.arange(1, len(r) + 1)
+    count = np.maximum(np.searchsorted(key, group[r] * WIDE + share[1] * n[r] // share[0], "right") - lo, 0)
+    upto, first = np.cumsum(count), 0
+    while first < len(r):
+        end = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + PAIRS, "right")))
+        c = count[first:end]
+        x = np.repeat(r[first:end], c)
+        y = r[np.repeat(lo[first:end] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
+        on = comp[x] != comp[y]
+        yield x[on], y[on]
+        first = end
 
 
 def grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[np.ndarray]]:
@@ -269,22 +294,6 @@ def as_batches(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[s : s + (1 << 18)]), pa.array(b[s : s + (1 << 18)])], names=["a", "b"])
 
 
-def run_pass(share: tuple[int, int]):
-    """Pairs (a, b) of runs, rows (key, n, comp, node) in order of key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for v in grouped(batches, 1):
-            new = group_starts(v, 1)
-            at = np.flatnonzero(new)
-            several = np.minimum.reduceat(v[2], at) != np.maximum.reduceat(v[2], at)
-            on = np.repeat(several, np.diff(np.append(at, len(new))))
-            if on.any():
-                for a, b in banded_pairs(np.cumsum(new)[on], *(c[on] for c in v[1:]), share):
-                    yield from as_batches(a, b)
-
-    return run
-
-
 def folded(maps: list[bytes], width: int) -> np.ndarray:
     """Bitmaps brought to one width by adding their halves without carry."""
     out = np.empty((len(maps), width // 64), np.uint64)
@@ -296,10 +305,30 @@ def folded(maps: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def tile_pairs(n: np.ndarray, comp: np.ndarray, node: np.ndarray, right: np.ndarray, maps: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a left and a right row, of different components, that size and bitmap allow: see possible()."""
+def allowed(x: np.ndarray, y: np.ndarray, n: np.ndarray, maps: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """Whether the bitmaps of the rows x and y leave the overlap that their sizes need: possible() for many pairs."""
     p, q = share
-    lefts, rights = np.flatnonzero(~right), np.flatnonzero(right)
+    size = np.fromiter(map(len, maps), np.int64, len(maps))
+    width, keep = np.minimum(size[x], size[y]), np.zeros(len(x), bool)
+    for w in np.unique(width):
+        on = np.flatnonzero(width == w)
+        rows = np.unique(np.concatenate([x[on], y[on]]))
+        bits, step = folded(maps[rows], 8 * int(w)), max(1, (1 << 21) // int(w))
+        for s in range(0, len(on), step):
+            k = on[s : s + step]
+            differ = np.bitwise_count(bits[np.searchsorted(rows, x[k])] ^ bits[np.searchsorted(rows, y[k])]).sum(1, dtype=np.int64)
+            total = n[x[k]] + n[y[k]]
+            keep[k] = (p + q) * (total - differ) >= 2 * p * total
+    return keep
+
+
+LEFT, RIGHT, BOTH = 0, 1, 2
+
+
+def tile_pairs(n: np.ndarray, comp: np.ndarray, node: np.ndarray, side: np.ndarray, maps: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a left and a right row of a large tile, of different components, that size and bitmap allow."""
+    p, q = share
+    lefts, rights = np.flatnonzero(side != RIGHT), np.flatnonzero(side != LEFT)
     band = np.floor(np.log(n) / np.log(q / p)).astype(int)
     found = [np.zeros((2, 0), np.int64)]
     for b in np.unique(band[lefts]):
@@ -323,24 +352,36 @@ def tile_pairs(n: np.ndarray, comp: np.ndarray, node: np.ndarray, right: np.ndar
 
 
 def tile_pass(share: tuple[int, int]):
-    """Pairs (a, b) of tiles, rows (key, i, j, n, comp, node, right, bits) in order of the first three."""
+    """Pairs (a, b) of tiles, rows (key, i, j, n, comp, node, side, bits) in order of the first three.
+
+    Small tiles have rows of side BOTH alone, and many of them are worked on at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for v in grouped(batches, 3):
-            at = np.append(np.flatnonzero(group_starts(v, 3)), len(v[0]))
+            new = group_starts(v, 3)
+            own = v[6] == BOTH
+            if own.any():
+                n, comp, node, _, maps = (c[own] for c in v[3:])
+                for x, y in banded_pairs(np.cumsum(new)[own], n, comp, share):
+                    on = allowed(x, y, n, maps, share)
+                    if on.any():
+                        yield from as_batches(*np.unique(np.sort(np.stack([node[x[on]], node[y[on]]]), 0), axis=1))
+            at = np.append(np.flatnonzero(new), len(new))
             for a, b in zip(at[:-1], at[1:], strict=True):
-                n, comp, node, right, maps = (c[a:b] for c in v[3:])
-                yield from as_batches(*tile_pairs(n, comp, node, right.astype(bool), maps, share))
+                if not own[a]:
+                    yield from as_batches(*tile_pairs(*(c[a:b] for c in v[3:]), share))
 
     return run
 
 
-def open_pairs(runs: DataFrame, known: DataFrame, classes: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs of nodes of different components that share a run and can be similar by their sizes (small runs) or by
-    size and bitmap (tiles)."""
+def open_tiles(runs: DataFrame, known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (key, i, j, n, comp, node, side, bits), in order, of the tiles of runs that hold several components."""
     rows = runs.join(known, "node", "left").select("key", F.col("n").cast("long").alias("n"), F.coalesce("component", "node").alias("comp"), "node", "small")
-    near = rows.where("small").select("key", "n", "comp", "node").repartition("key").sortWithinPartitions("key")
-    pairs = near.mapInArrow(run_pass(share), "a long, b long")
+    # a small run, of fewer than SMALL nodes, is one tile; runs of the same nodes are the same tile
+    near = rows.where("small").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array_sort(F.collect_set(F.struct("node", "n", "comp"))).alias("rows")).where("lo < hi")
+    near = near.groupBy(F.xxhash64("rows.node").alias("key")).agg(F.first("rows").alias("rows")).select("key", F.inline("rows"))
+    tiles = near.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "n", "comp", "node", F.lit(BOTH).alias("side"), F.lit(2).alias("kind"))
 
     rows = rows.where("NOT small").drop("small").distinct()
     each = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"))
@@ -349,14 +390,19 @@ def open_pairs(runs: DataFrame, known: DataFrame, classes: DataFrame, share: tup
     mine = rows.where("comp = main").select(F.col("main").alias("key"), "n", "comp", "node").distinct()
     others = rows.where("comp <> main")
     met = others.select(F.col("main").alias("key"), "n", "comp", "node").distinct()
-    left, right = dealt(mine, met)
-    tiles = left.unionByName(right)
+    for side in dealt(mine, met):
+        tiles = tiles.unionByName(side.withColumn("kind", F.lit(0)))
     # the others of a run among themselves
-    left, right = dealt(others.select("key", "n", "comp", "node"), others.select("key", "n", "comp", "node"))
-    tiles = tiles.withColumn("kind", F.lit(0)).unionByName(left.unionByName(right).withColumn("kind", F.lit(1)))
+    others = others.select("key", "n", "comp", "node")
+    for side in dealt(others, others):
+        tiles = tiles.unionByName(side.withColumn("kind", F.lit(1)))
     tiles = tiles.join(classes.select("node", "bits"), "node").withColumn("key", F.xxhash64("kind", "key"))
-    tiles = tiles.select("key", "i", "j", "n", "comp", "node", "right", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return pairs.unionByName(tiles.mapInArrow(tile_pass(share), "a long, b long")).distinct()
+    return tiles.select("key", "i", "j", "n", "comp", "node", "side", "bits").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def open_pairs(runs: DataFrame, known: DataFrame, classes: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs of nodes of different components that share a run and can be similar by size and bitmap."""
+    return open_tiles(runs, known, classes).mapInArrow(tidied(tile_pass(share)), "a long, b long").distinct()
 
 
 def dealt(left: DataFrame, right: DataFrame, n_left: str = "blocks_left", n_right: str = "blocks_right") -> tuple[DataFrame, DataFrame]:
@@ -365,8 +411,8 @@ def dealt(left: DataFrame, right: DataFrame, n_left: str = "blocks_left", n_righ
     cuts = blocks(left, n_left).join(blocks(right, n_right), "key")
     own = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = left.join(cuts, "key").select("key", own(1, n_left).alias("i"), every(n_right).alias("j"), "n", "comp", "node", F.lit(False).alias("right"))
-    b = right.join(cuts, "key").select("key", every(n_left).alias("i"), own(2, n_right).alias("j"), "n", "comp", "node", F.lit(True).alias("right"))
+    a = left.join(cuts, "key").select("key", own(1, n_left).alias("i"), every(n_right).alias("j"), "n", "comp", "node", F.lit(LEFT).alias("side"))
+    b = right.join(cuts, "key").select("key", every(n_left).alias("i"), own(2, n_right).alias("j"), "n", "comp", "node", F.lit(RIGHT).alias("side"))
     return a, b
 
 
@@ -384,7 +430,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: tuple[int, in
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where("doc_id IS NOT NULL")
-    first = checkpoint(docs.mapInArrow(node_pass(words), "doc_id long, n long, node long, recurring boolean, bits binary"))
+    first = checkpoint(docs.mapInArrow(tidied(node_pass(words)), "doc_id long, n long, node long, recurring boolean, bits binary"))
     everything, recurring = first.where("NOT recurring"), first.where("recurring")
     rows = everything.where("doc_id IS NOT NULL")
     top = recurring.groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "node").limit(HEAVY).collect()  # HEAVY shingles at most
@@ -393,7 +439,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: tuple[int, in
     cuts = np.array([max(1, -(-r["n"] // PART)) for r in top], np.int64)[order]
     heavy = heavy[order]
 
-    placed = named.select("text").mapInArrow(prefix_pass(words, heavy, cuts, share), "key long, part int, node long, n int")
+    placed = named.select("text").mapInArrow(tidied(prefix_pass(words, heavy, cuts, share)), "key long, part int, node long, n int")
     run = Window.partitionBy("key", "part")
     wide = placed.withColumns({"lo": F.min("node").over(run), "hi": F.max("node").over(run), "m": F.count("*").over(run)})
     # parts of a large run belong together, whatever one of them holds
@@ -406,7 +452,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: tuple[int, in
     doubled = rows.where("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b < hi")
     doubled = rows.join(doubled, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
 
-    known = components(verified(partner, classes, named, words, share).unionByName(doubled))
+    known = components(verified(bounded(partner, classes, share), classes, named, words, share).unionByName(doubled))
     more = verified(open_pairs(runs, known, classes, share), classes, named, words, share)
     known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
