@@ -17,13 +17,16 @@ any word has targets 0.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockloom.llm import text as T
 from blockloom.llm.running import random_key, running
+from blockloom.llm.shared import carried, checkpoint, extended, tidied
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
@@ -32,12 +35,20 @@ MOST_SLOTS = 1 << 26
 MOST_SOURCES = 100_000
 GOLDEN = (math.sqrt(5) - 1) / 2
 SEED = 77
-MADE = ("size", "source_size", "target", "taken")
+MADE = ("size", "source_size", "target", "taken", "first_slot")
 
 
-def n_words(text: Column) -> Column:
-    """Longest runs of characters other than space and \\t to \\r."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """columns, the text's hash _id and its number of words _size: longest runs of bytes other than space and \\t to \\r."""
+    rows = docs.select(*columns, F.xxhash64("text").alias("_id"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, raw, off in T.slices(batch.column(batch.num_columns - 1)):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(T.bounds(raw, off)[2]), pa.int64())], names=[*part.schema.names[:-1], "_size"])
+
+    return rows.mapInArrow(tidied(run), extended(rows.drop("text"), "_size long"))
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> list[float]:
@@ -77,11 +88,19 @@ def schedule(spark: SparkSession, need: list[int]) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: int = MOST_TIMES, block: int = BLOCK, seed: int = SEED, drop_text: bool = False) -> DataFrame:
-    """docs with size, source_size, target and taken, the words that the mix takes of each row, repeats counted."""
+    """docs with size, source_size, target, taken (words that the mix takes of each row, repeats counted) and first_slot,
+    the place in the schedule of the first block that takes of it (null if none does)."""
     spark = docs.sparkSession
-    rows = docs.withColumns({"_size": n_words(F.col("text")), "_id": F.xxhash64("text")})
-    rows = rows.select(*(F.col(f"`{c}`") for c in rows.columns if c.lower() not in MADE and not (drop_text and c.lower() == "text")))
-    found = rows.groupBy("source").agg(F.sum("_size").alias("n"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
+    if drop_text:
+        # the texts are read once, and everything else is done with what this keeps
+        held, columns = carried(docs, ("doc_id", "source", "text"), MADE)
+        narrow = checkpoint(counted(held, [c for c in held.columns if c != "text"]))
+        rows = narrow
+    else:
+        held, columns = carried(docs, ("doc_id", "source", "text"), MADE)
+        narrow = checkpoint(counted(held, ["doc_id", "source"]))
+        rows = held.withColumn("_id", F.xxhash64("text"))
+    found = narrow.groupBy("source").agg(F.sum("_size").alias("n"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -92,11 +111,12 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: int
     need = [k // n * -(-n // block) + -(-(k % n) // block) if n else 0 for k, n in zip(take, sizes, strict=True)]
     table = [(i, r["source"], r["n"], t, k) for i, (r, t, k) in enumerate(zip(found, target, take, strict=True))]
     sources = F.broadcast(spark.createDataFrame(table, "_s int, _source string, source_size long, target double, _take long"))  # MOST_SOURCES rows at most
-    rows = rows.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
-    items = rows.where((F.col("_size") > 0) & (F.col("_take") > 0)).groupBy("_s", "doc_id", "_id").agg(F.count("*").alias("_n"), F.max("_size").alias("_len"), F.max("source_size").alias("_all"), F.max("_take").alias("_most"))
-    items = items.withColumn("_key", random_key(seed, "doc_id", "_id"))
-    laid = running(items, "_s", "_key", ["doc_id", "_id"], F.col("_n") * F.col("_len"), "_from", sum(r["rows"] for r in found))
+    items = narrow.groupBy("source", "doc_id", "_id").agg(F.count("*").alias("_n"), F.max("_size").alias("_len"))
+    items = items.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    used = items.where((F.col("_len") > 0) & (F.col("_take") > 0)).select("_s", "doc_id", "_id", "_n", "_len", F.col("source_size").alias("_all"), F.col("_take").alias("_most"))
+    used = used.withColumn("_key", random_key(seed, "doc_id", "_id"))
+    laid = running(used, "_s", "_key", ["doc_id", "_id"], F.col("_n") * F.col("_len"), "_from", sum(r["rows"] for r in found))
     laid = laid.withColumn("_to", F.col("_from") + F.col("_n") * F.col("_len"))
     pieces = laid.withColumn("_block", F.explode(F.sequence(F.expr(f"_from div {block}"), F.expr(f"(_to - 1) div {block}"))))
     slots = schedule(spark, need).join(F.broadcast(spark.createDataFrame([(i, -(-n // block)) for i, n in enumerate(sizes)], "_i int, _blocks long")), F.col("_s") == F.col("_i"))
@@ -104,14 +124,23 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: int
     pieces = pieces.join(slots, ["_s", "_block"])
     first = F.greatest(F.col("_from"), F.col("_block") * block)
     end = F.least(F.col("_to"), (F.col("_block") + 1) * block, F.col("_most") - F.col("_pass") * F.col("_all"))
-    words = pieces.withColumn("_words", F.greatest(end - first, F.lit(0))).groupBy("_s", "doc_id", "_id").agg(F.sum("_words").alias("_words"), F.max("_n").alias("_n"))
-    taken = words.select(F.col("_s").alias("_ts"), F.col("doc_id").alias("_td"), F.col("_id").alias("_ti"), F.expr("_words div _n").alias("taken"))
-    out = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_td")) & (F.col("_id") == F.col("_ti")) & (F.col("_s") == F.col("_ts")), "left")
-    out = out.withColumns({"size": F.col("_size"), "taken": F.when(F.col("_size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long")})
-    return out.drop("_size", "_id", "_s", "_take", "_ts", "_td", "_ti")
+    pieces = pieces.withColumn("_words", F.greatest(end - first, F.lit(0)))
+    words = pieces.groupBy("_s", "doc_id", "_id").agg(F.sum("_words").alias("_words"), F.max("_n").alias("_n"), F.min(F.when(F.col("_words") > 0, F.col("slot"))).alias("first_slot"))
+    taken = words.select(F.col("_s").alias("_ts"), F.col("doc_id").alias("_td"), F.col("_id").alias("_ti"), F.expr("_words div _n").alias("taken"), "first_slot")
+    # one row for each source, doc_id and text; rows equal in these have the same values
+    values = items.join(taken, F.col("doc_id").eqNullSafe(F.col("_td")) & (F.col("_id") == F.col("_ti")) & (F.col("_s") == F.col("_ts")), "left")
+    values = values.select(F.col("source").alias("_vs"), F.col("doc_id").alias("_vd"), F.col("_id").alias("_vi"), F.col("_len").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    out = rows.join(values, F.col("doc_id").eqNullSafe(F.col("_vd")) & (F.col("_id") == F.col("_vi")) & F.col("source").eqNullSafe(F.col("_vs")))
+    return out.select(*columns(out), *MADE)
 
 
 def copies(df: DataFrame) -> DataFrame:
-    """Each row of mixed() as often as the words taken make up its size, rounded; rows taken less than half go."""
+    """Each row of mixed() as often as the words taken make up its size, rounded; rows taken less than half go.
+
+    Of a source's documents, laid end to end, the mix takes whole passes and then a first part, which ends inside one
+    document; so what rounding changes of a source's words is at most half of one document, with its repeated rows.
+    """
     n = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), n))).drop("_copy", *MADE)
+    held, columns = carried(df, MADE)
+    out = held.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), n)))
+    return out.select(*(c for c, name in zip(columns(out), df.columns, strict=True) if name not in MADE))
