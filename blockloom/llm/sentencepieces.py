@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -25,9 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.llm.shared import extended, tidied
+
 MARK = "▁"
 ROW = 32
-CACHE = 1_000_000
+#: Bytes of segments and their ids that a Python worker keeps at most, by an estimate, in two halves: those used since the
+#: last change of halves, and the ones before, which go at the next.
+CACHE = 24 << 20
+#: What an entry takes beside its characters and ids.
+ENTRY = 240
 NONE = np.int32(-1)
 
 
@@ -74,6 +80,8 @@ class Encoder:
         self.keys, self.made = np.append(keys, np.int64(2**62)), np.append(np.array([pairs[int(k)] for k in keys], np.int32), NONE)
         self.score = np.array([sp.get_score(i) for i in range(size)] + [-np.inf], np.float32)
         self.known: dict[str, bytes] = {}
+        self.past: dict[str, bytes] = {}
+        self.held = 0
 
     def add(self, char: str, size: int) -> int:
         at = self.symbol.get(char)
@@ -163,10 +171,6 @@ class Encoder:
 
     def learn(self, segments: list[str]) -> None:
         """Encodes segments that are not known yet and checks them against the library."""
-        if len(self.known) + len(segments) > CACHE:
-            self.known.clear()
-            if len(self.names) > CACHE:
-                raise ValueError("more distinct characters than Unicode has")
         segments = sorted(segments, key=len)
         cut = next((i for i, s in enumerate(segments) if len(s) > ROW), len(segments))
         parts, counts, step = [], [], 8192
@@ -183,7 +187,17 @@ class Encoder:
             flat, off = np.array([i for x in found for i in x], np.int32), np.cumsum([0, *map(len, found)]).tolist()
         self.compare(segments, flat, off)
         raw = flat.astype("<u4").tobytes()
-        self.known.update((s, raw[4 * a : 4 * b]) for s, a, b in zip(segments, off, off[1:], strict=False))
+        self.keep((s, raw[4 * a : 4 * b]) for s, a, b in zip(segments, off, off[1:], strict=False))
+
+    def keep(self, entries: Iterable[tuple[str, bytes]]) -> None:
+        for s, ids in entries:
+            self.known[s] = ids
+            self.held += ENTRY + len(s) + len(ids)
+
+    def recalled(self, segments: set[str]) -> list[str]:
+        """The segments that are not known any more; those of the past half are known again."""
+        self.keep((s, self.past[s]) for s in segments if s in self.past)
+        return [s for s in segments if s not in self.known]
 
     def compare(self, segments: list[str], flat: np.ndarray, off: list[int]) -> None:
         """Raises if the library, after a newline, encodes a segment to other ids."""
@@ -204,10 +218,13 @@ class Encoder:
         """Ids with begin and end as little-endian unsigned 32-bit integers."""
         ends = [np.array([i], "<u4").tobytes() for i in (self.bos, self.eos)]
         cut = [self.split.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        if 2 * self.held > CACHE:
+            self.past, self.known, self.held = self.known, {}, 0
         own = [[*map(self.known.get, x)] for x in cut]
         fresh = {s for x, y in zip(cut, own, strict=True) if None in y for s, i in zip(x, y, strict=True) if i is None}
         if fresh:
-            self.learn(list(fresh))
+            if new := self.recalled(fresh):
+                self.learn(new)
             own = [y if None not in y else [self.known[s] if i is None else i for s, i in zip(x, y, strict=True)] for x, y in zip(cut, own, strict=True)]
         out = [b"".join([ends[0], *x, ends[1]]) for x in own]
         probe = next((i for i, t in enumerate(texts) if t), None)
@@ -239,7 +256,6 @@ def pieces(docs: DataFrame, model_file: str, digests_only: bool = False) -> Data
     made = [x.split()[0] for x in new]
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in made))
     at = [c.lower() for c in docs.columns].index("text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *new])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from blockloom.llm.text import slices
@@ -258,4 +274,4 @@ def pieces(docs: DataFrame, model_file: str, digests_only: bool = False) -> Data
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(own), "<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(columns[n] for n in made)], names=[*part.schema.names, *made])
 
-    return docs.mapInArrow(encoded, schema)
+    return docs.mapInArrow(tidied(encoded), extended(docs, ", ".join(new)))
