@@ -21,10 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm.running import random_key, running
+from blockloom.llm.shared import carried
 
-PART_ROWS = 100_000
+#: Rows of a source part on average, as long as there are no more than MOST_PARTS of them; at least as many as shards.
+PART_ROWS = 4096
 MOST_PARTS = 20_000
 SEED = 20240501
+MADE = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def communication_matrix(parts: list[int], shards: int, seed: int = SEED) -> np.ndarray:
@@ -43,12 +46,12 @@ def communication_matrix(parts: list[int], shards: int, seed: int = SEED) -> np.
 def shards(docs: DataFrame, n_shards: int = 40, seed: int = SEED, part_rows: int = PART_ROWS, drop_text: bool = False) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot and grown_shard (null under this law)."""
     spark = docs.sparkSession
-    made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    held, columns = carried(docs, ("doc_id", "text"), MADE)
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.withColumns({"_size": F.octet_length(text).cast("long") + 16, "_crc": F.crc32(text.cast("binary")).cast("long")})
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in made and not (drop_text and c.lower() == "text"))).withColumnsRenamed({"_size": "size", "_crc": "text_crc32"})
+    docs = held.withColumns({"size": F.octet_length(text).cast("long") + 16, "text_crc32": F.crc32(text.cast("binary")).cast("long")})
+    docs = docs.drop("text") if drop_text else docs
     n = docs.count()
-    parts = max(1, min(MOST_PARTS, -(-n // part_rows)))
+    parts = min(MOST_PARTS, max(n_shards, -(-n // part_rows)))
     id_ = ["doc_id", "text_crc32", "size"]
     rows = docs.withColumns({"_part": F.pmod(F.xxhash64(F.lit(seed + 1), *id_), F.lit(parts)).cast("long"), "_local": random_key(seed + 2, *id_), "_final": random_key(seed + 3, *id_)})
     counts = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # MOST_PARTS rows at most
@@ -60,4 +63,4 @@ def shards(docs: DataFrame, n_shards: int = 40, seed: int = SEED, part_rows: int
     shard = F.aggregate("_ends", F.lit(0), lambda a, e: a + F.when(F.col("_place") >= e, 1).otherwise(0))
     placed = placed.withColumn("shard", shard.cast("int")).drop("_part", "_p", "_ends", "_place", "_local")
     out = running(placed, "shard", "_final", id_, F.lit(1), "slot", n)
-    return out.drop("_final").withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+    return out.select(*columns(out), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
