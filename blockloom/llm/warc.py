@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.shared import checkpoint_dir
+from blockloom.llm.shared import checkpoint_dir, tidied
 
 MIN_REVISIT = 1000
 SEGMENT = 16 << 10
@@ -36,6 +36,7 @@ BATCH_BYTES = 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, record_type string, origin string, segment int, total long, refers_to long, digest string, block binary"
+WHOLE = "page_id long, record_type string, refers_to long, digest string, block binary, error string"
 DECODED = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
 
 
@@ -117,7 +118,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT,
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    lines = rows.mapInArrow(written, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines = rows.mapInArrow(tidied(written), "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.mode("overwrite").option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -208,7 +209,7 @@ def records(spark: SparkSession, path: str, segmented: bool) -> DataFrame:
                     yield arrow(out, RECORD)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
-    return files.mapInArrow(read, RECORD)
+    return files.mapInArrow(tidied(read), RECORD)
 
 
 def reassembled(segments: DataFrame) -> DataFrame:
@@ -217,10 +218,17 @@ def reassembled(segments: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("s"), F.max("total").alias("total"),
         *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("page_id", "record_type", "refers_to", "digest")),
     )
-    block = F.aggregate("s", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["block"]))
-    out = by.withColumn("numbers", F.col("s.segment")).withColumn("block", block)
-    whole = (F.col("numbers") == F.sequence(F.lit(1), F.size("numbers"))) & F.col("total").isNotNull() & (F.octet_length("block") == F.col("total"))
-    return out.withColumn("error", F.when(~F.coalesce(whole, F.lit(False)), F.lit("segments do not add up to the total length"))).select("page_id", "record_type", "refers_to", "digest", "block", "error")
+    by = by.select("page_id", "record_type", "refers_to", "digest", "total", F.col("s.segment").alias("numbers"), F.col("s.block").alias("blocks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a record at a time, since each may be large
+                page_id, kind, refers_to, digest, total, numbers, blocks = (c[i].as_py() for c in batch.columns)
+                block = b"".join(blocks)
+                whole = numbers == list(range(1, len(numbers) + 1)) and total == len(block)
+                yield arrow([(page_id, kind, refers_to, digest, block, None if whole else "segments do not add up to the total length")], WHOLE)
+
+    return by.mapInArrow(tidied(run), WHOLE)
 
 
 def decode(record_type: str, digest: str | None, block: bytes) -> tuple[int | None, str | None, bytes | None, str | None]:
@@ -249,7 +257,7 @@ def decoded(whole: DataFrame, payloads: bool) -> DataFrame:
                 out.append((page_id, kind, refers_to, n, sha, payload if payloads else None, bad))
             yield arrow(out, DECODED)
 
-    return whole.mapInArrow(run, DECODED)
+    return whole.mapInArrow(tidied(run), DECODED)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
