@@ -4,6 +4,9 @@ A pair is a chosen and a rejected conversation. Their longest common prefix of t
 is rendered once as the prompt, and what follows as two completions. Each completion comes with its mask: spans of code
 points, "start-end" joined by commas, of the assistant's words, on which a loss applies; all else is context.
 
+Conversations without preference labels make pairs by mismatched_replies(): a conversation is chosen over itself with the
+last reply of its neighbour in place of its own.
+
 Defined results: turns are ordered by turn, then role and text, nulls first, and counted from there, so gaps in turn do
 not matter; a repeated turn row stays a turn; a null role or text counts as empty; a null conversation id is dropped, as
 it names no conversation; a conversation without a partner gives a pair whose other side is null, an empty prompt and
@@ -25,18 +28,36 @@ def head(role: Column) -> Column:
 
 def turns_in_order(turns: DataFrame, pair: Column, side: Column) -> DataFrame:
     """Turns with pair_id, side (0 chosen, 1 rejected) and pos from 0 inside the conversation."""
-    turns = turns.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return turns.withColumns({"pair_id": pair, "side": side, "pos": F.row_number().over(order) - 1})
+    turns = turns.where(F.col("conv_id").isNotNull()).select(pair.alias("pair_id"), side.alias("side"), "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("pair_id", "side", "conv_id").orderBy("turn", "role", "text")
+    return turns.withColumn("pos", F.row_number().over(order) - 1)
+
+
+def mismatched_replies(turns: DataFrame) -> DataFrame:
+    """turns with pair_id and side: each conversation as it is (side 0), and with another last reply (side 1).
+
+    The reply is the last one of the neighbour, the conversation whose id differs in the lowest bit; rows of side 1 have
+    the neighbour's conv_id. A reply is a turn of the assistant; the last one is that of the largest turn, then text, and
+    rows equal in both are replaced together. A conversation without a reply, or whose neighbour has none, has no side 1;
+    one whose last reply is its neighbour's too makes two equal sides.
+    """
+    turns = turns.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("reply"))
+    replies = last.join(other, "conv_id")
+    own = (F.col("role") == "assistant") & F.col("turn").eqNullSafe(F.col("last.turn")) & (F.col("text") == F.col("last.text"))
+    rejected = turns.join(replies, "conv_id").withColumn("text", F.when(own, F.col("reply")).otherwise(F.col("text")))
+    chosen = turns.select(F.col("conv_id").alias("pair_id"), F.lit(0).alias("side"), "conv_id", "turn", "role", "text")
+    return chosen.unionByName(rejected.select(F.col("conv_id").alias("pair_id"), F.lit(1).alias("side"), F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), "turn", "role", "text"))
 
 
 def preference_pairs(turns: DataFrame, pair: Column | None = None, side: Column | None = None) -> DataFrame:
     """One row per pair: pair_id, chosen_id, rejected_id, n_prompt_turns, prompt, chosen, rejected and their masks.
 
-    pair and side are expressions over conv_id; by default conversations 2k and 2k+1 are the chosen and the rejected
-    one of pair k.
+    pair and side are expressions over the columns of turns; by default conversations 2k and 2k+1 are the chosen and the
+    rejected one of pair k.
     """
-    pair = F.floor(F.col("conv_id") / 2) if pair is None else pair
+    pair = F.shiftright("conv_id", 1) if pair is None else pair
     side = F.pmod(F.col("conv_id"), F.lit(2)).cast("int") if side is None else side
     rows = turns_in_order(turns, pair, side)
     # a position is common if both sides have it with equal role and text; the prefix ends before the first that is not
@@ -48,17 +69,13 @@ def preference_pairs(turns: DataFrame, pair: Column | None = None, side: Column
     shared = F.col("pos") < F.col("n_prompt")
     # the prompt is rendered from the chosen side alone
     rows = rows.where(~shared | (F.col("side") == 0)).withColumn("part", F.when(shared, F.lit("prompt")).when(F.col("side") == 0, "chosen").otherwise("rejected"))
-    rows = rows.withColumns({"head": head(F.col("role")), "body": F.concat("text", F.lit(CLOSE))})
-    parts = rows.groupBy("pair_id", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "head", "body", F.char_length("text").alias("chars")))).alias("t"))
+    rows = rows.withColumns({"head": head(F.col("role")), "body": F.concat("text", F.lit(CLOSE)), "chars": F.char_length("text")})
+    before = Window.partitionBy("pair_id", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("begins", F.coalesce(F.sum(F.char_length("head") + F.char_length("body")).over(before), F.lit(0)) + F.char_length("head"))
+    span = F.when(F.col("role") == "assistant", F.concat(F.col("begins").cast("string"), F.lit("-"), (F.col("begins") + F.col("chars")).cast("string")))
+    parts = rows.groupBy("pair_id", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "head", "body", span.alias("span")))).alias("t"))
     parts = parts.withColumn("rendered", F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"])), ""))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.char_length(x["head"])
-        span = F.concat(a.cast("string"), F.lit("-"), (a + x["chars"]).cast("string"))
-        return F.struct((a + F.char_length(x["body"])).alias("at"), F.when(x["role"] == "assistant", F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    parts = parts.withColumn("mask", F.aggregate("t", start, step, lambda acc: F.array_join(acc["spans"], ",")))
+    parts = parts.withColumn("mask", F.array_join(F.transform("t", lambda x: x["span"]), ","))
     pick = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
     wide = parts.groupBy("pair_id").agg(*(pick(p, "rendered").alias(p) for p in ("prompt", "chosen", "rejected")), *(pick(p, "mask").alias(f"{p}_mask") for p in ("chosen", "rejected")))
     out = ids.join(prefix, "pair_id").join(wide, "pair_id")
@@ -69,6 +86,18 @@ def preference_pairs(turns: DataFrame, pair: Column | None = None, side: Column
     )
 
 
+#: The rows of mismatched_replies(), to go before ORACLE_SQL's own.
+MISMATCHED_SQL = """
+WITH own AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ends AS (SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC) AS r FROM own WHERE role = 'assistant') WHERE r = 1),
+given AS (
+  SELECT conv_id AS pair_id, 0 AS side, * FROM own
+  UNION ALL
+  SELECT o.conv_id, 1, xor(o.conv_id, 1), o.turn, o.role,
+         CASE WHEN o.role = 'assistant' AND o.turn IS NOT DISTINCT FROM e.turn AND o.text = e.text THEN n.text ELSE o.text END
+  FROM own o JOIN ends e ON e.conv_id = o.conv_id JOIN ends n ON n.conv_id = xor(o.conv_id, 1)
+), """
+
 ORACLE_SQL = """
 WITH t AS (
   SELECT conv_id, conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
@@ -105,3 +134,5 @@ LEFT JOIN parts p ON p.pair_id = i.pair_id AND p.part = 'prompt'
 LEFT JOIN parts c ON c.pair_id = i.pair_id AND c.part = 'chosen'
 LEFT JOIN parts j ON j.pair_id = i.pair_id AND j.part = 'rejected'
 """
+
+QUERY_SQL = MISMATCHED_SQL + ORACLE_SQL.replace("WITH t AS", "t AS").replace("conv_id // 2 AS pair_id, conv_id % 2 AS side", "pair_id, side").replace("PARTITION BY conv_id ORDER", "PARTITION BY pair_id, side, conv_id ORDER").replace("FROM conversations", "FROM given").lstrip()

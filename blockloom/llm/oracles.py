@@ -64,4 +64,4 @@ f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality
 SELECT *, NOT base_failed AND failed = '' AS kept FROM f
 """
 
-ORACLES = {"op1_ngram_jaccard_join": JACCARD, "op2_chat_formatting": chat.ORACLE_SQL, "op5_warc": WARC, "op6_quality_rules": QUALITY, "op7_embedding_near_dedup": VECTORS}
+ORACLES = {"op1_ngram_jaccard_join": JACCARD, "op2_chat_formatting": chat.QUERY_SQL, "op5_warc": WARC, "op6_quality_rules": QUALITY, "op7_embedding_near_dedup": VECTORS}

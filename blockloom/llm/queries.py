@@ -19,9 +19,9 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from blockloom.llm.chat import preference_pairs
+    from blockloom.llm.chat import mismatched_replies, preference_pairs
 
-    return preference_pairs(table(spark, sf_dir, "conversations"))
+    return preference_pairs(mismatched_replies(table(spark, sf_dir, "conversations")), F.col("pair_id"), F.col("side"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
