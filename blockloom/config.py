@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, fields, replace
+from pathlib import Path
 
 CODECS = ("none", "lzfx", "lz4", "zlib", "bzip2", "lzma", "lzmaMt", "ppmd", "libbsc", "adapt", "adapt2")
 DIGESTS = ("CRC64", "SHA256", "SHA512", "KECCAK256", "KECCAK512", "BLAKE256", "BLAKE512")
 MIN_CHUNK, DEFAULT_CHUNK = 2048, 8 << 20
 DEDUPE_CHUNK, GLOBAL_CHUNK = 1 << 20, 2 << 20
-#: Bytes that an arithmetic series must exceed to be worth its header, by codec.
+# The bytes that an arithmetic series must exceed to be worth its header, by codec.
 SERIES_SPAN = {"none": 50, "lzfx": 50, "lz4": 100, "zlib": 100, "ppmd": 100, "lzma": 150, "lzmaMt": 150, "libbsc": 150, "bzip2": 200, "adapt": 200, "adapt2": 200}
 LEAST_SPAN = 50
 
@@ -96,6 +97,26 @@ class Config:
                 raise ValueError(f"unknown option {w}")
         return cls(**found)
 
+    @classmethod
+    def from_file(cls, path: str) -> Config:
+        """Settings from lines of the form name=value; empty lines and those that begin with # do not count."""
+        kinds, found = {f.name: f.type for f in fields(cls)}, {}
+        for number, line in enumerate(Path(path).read_text().splitlines(), 1):
+            name, equals, value = (x.strip() for x in line.partition("="))
+            if not name or name.startswith("#"):
+                continue
+            if not equals or name not in kinds:
+                raise ValueError(f"{path}, line {number}: {line}")
+            kind = kinds[name]
+            if kind == "bool" and value not in ("true", "false"):
+                raise ValueError(f"{path}, line {number}: true or false")
+            found[name] = {"bool": lambda v: v == "true", "int": parse_size, "str": str}[kind](value) if kind in ("bool", "int", "str") else tuple(map(int, value.split(","))) if name == "strides" else value or None
+        return cls(**found)
+
+    def to_file(self, path: str) -> None:
+        text = {k: str(v).lower() if isinstance(v, bool) else ",".join(map(str, v)) if isinstance(v, tuple) else "" if v is None else str(v) for k, v in asdict(self).items()}
+        Path(path).write_text("".join(f"{k}={v}\n" for k, v in text.items()))
+
     def resolve(self, size: int) -> Config:
         """Global deduplication of an input of one chunk is deduplication inside it; a tiny input has none."""
         if self.dedupe == "none":

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.operators import digests
+
 # Fixed values of the cut test.
 MULTIPLIER = 153191
 WINDOW = 16
@@ -21,16 +23,19 @@ MAX_BLOCK = 128 << 10
 MAX_BLOCK_GLOBAL = 64 << 10
 
 
-def fixed_blocks(streams: DataFrame, size: int, keep_data: bool = False) -> DataFrame:
-    """stream_id, block_no, offset, length, cksum (and data) of blocks of one size; the last is shorter."""
+def fixed_blocks(streams: DataFrame, size: int, keep_data: bool = False, digest: str = "SHA256") -> DataFrame:
+    """stream_id, block_no, offset, length, cksum (and data) of blocks of one size; the last is shorter.
+
+    digest: one of digests.EXPRESSIONS; a fast one is no proof that blocks are equal.
+    """
     rows = streams.where(F.octet_length("data") > 0)
     rows = rows.withColumn("block_no", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"CAST((octet_length(data) - 1) div {size} AS BIGINT)"))))
     rows = rows.withColumn("block", F.substring(F.col("data"), (F.col("block_no") * size + 1).cast("int"), F.lit(size)))
-    return described(rows.withColumn("offset", F.col("block_no") * size), keep_data)
+    return described(rows.withColumn("offset", F.col("block_no") * size), keep_data, digest)
 
 
-def described(rows: DataFrame, keep_data: bool) -> DataFrame:
-    columns = ["stream_id", "block_no", "offset", F.octet_length("block").cast("long").alias("length"), F.sha2("block", 256).alias("cksum")]
+def described(rows: DataFrame, keep_data: bool, digest: str = "SHA256") -> DataFrame:
+    columns = ["stream_id", "block_no", "offset", F.octet_length("block").cast("long").alias("length"), digests.digest(F.col("block"), digest).alias("cksum")]
     return rows.select(*columns, *([F.col("block").alias("data")] if keep_data else []))
 
 
@@ -121,6 +126,27 @@ def candidate_sums(streams: DataFrame) -> DataFrame:
     return streams.select("stream_id", "data").mapInArrow(run, f"stream_id {kind}, n_cuts long, pos_sum long")
 
 
+def last_cuts(streams: DataFrame, window: int = MAX_BLOCK) -> DataFrame:
+    """stream_id and last_cut, the last cut candidate in the last `window` bytes, or -1.
+
+    A stream without end is read up to there, and goes on from there with what arrives later.
+    """
+    kind = streams.schema["stream_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for d in batch.column(1):
+                x = np.frombuffer(d.as_buffer(), np.uint8) if d.is_valid and len(d.as_buffer()) else np.zeros(0, np.uint8)
+                skip = max(0, len(x) - window - WINDOW)  # the test looks back
+                found = cut_candidates(x[skip:]) + skip
+                found = found[found >= len(x) - window]
+                out.append(int(found[-1]) if len(found) else -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["stream_id", "last_cut"])
+
+    return streams.select("stream_id", "data").mapInArrow(run, f"stream_id {kind}, last_cut long")
+
+
 def slice_cuts(slices: DataFrame, block_bits: int = 2, whole: bool = True) -> DataFrame:
     """stream_id, block_no, offset, length of streams given as slices (stream_id, offset, size, before, data).
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.operators import delta
+from blockloom.operators import delta, digests
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ DIGESTS: dict[str, tuple[int, Callable[[bytes], bytes]]] = {
     "SHA256": (32, lambda d: hashlib.sha256(d).digest()), "SHA512": (64, lambda d: hashlib.sha512(d).digest()),
     "KECCAK256": (32, lambda d: hashlib.sha3_256(d).digest()), "KECCAK512": (64, lambda d: hashlib.sha3_512(d).digest()),
     "BLAKE256": (32, lambda d: hashlib.blake2b(d, digest_size=32).digest()), "BLAKE512": (64, lambda d: hashlib.blake2b(d).digest()),
-    "CRC64": (8, lambda d: zlib.crc32(d).to_bytes(4, "big") + zlib.crc32(d[::-1]).to_bytes(4, "big")),
+    "CRC64": (8, lambda d: digests.crc64(d).to_bytes(8, "big")),
 }
 
 
@@ -103,8 +103,8 @@ def lzp_decode(data: bytes) -> bytes:
         at += 4 + n
         if at < len(data):
             j, n = int.from_bytes(data[at : at + 4], "little"), int.from_bytes(data[at + 4 : at + 8], "little")
-            for k in range(n):  # a repeat may reach into itself
-                out.append(out[j + k])
+            part = bytes(out[j : j + n])
+            out += (part * -(-n // len(part)))[:n]  # a repeat may reach into itself
             at += 8
     return bytes(out)
 
@@ -139,11 +139,14 @@ FILTERS: dict[str, tuple[Callable[[bytes], bytes | None], Callable[[bytes], byte
 }
 
 
-def encode_chunk(data: bytes, codec: str, level: int = 6, filters: tuple[str, ...] = ()) -> tuple[bytes, str, list[str]]:
-    """Encoded bytes, the codec that ran ("raw" where nothing shrank) and the filters that applied."""
+def encode_chunk(data: bytes, codec: str, level: int = 6, filters: tuple[str, ...] = (), span: int = 50, strides: tuple[int, ...] = (2, 4, 8)) -> tuple[bytes, str, list[str]]:
+    """Encoded bytes, the codec that ran ("raw" where nothing shrank) and the filters that applied.
+
+    span: the bytes that an arithmetic series must exceed to be worth its header.
+    """
     body, applied = data, []
     for name in (f for f in FILTERS if f in filters):
-        made = FILTERS[name][0](body)
+        made = delta.series_encode(body, strides, span) if name == "delta" else FILTERS[name][0](body)
         if made is not None:
             body = made
             applied.append(name)
@@ -165,8 +168,11 @@ def decode_chunk(data: bytes, used: str, applied: list[str]) -> bytes:
 ENCODED = "chunk_no long, codec_requested string, codec_used string, filters array<string>, raw_length long, data binary, digest string, crc long, version int"
 
 
-def encoded(chunks: DataFrame, codec: Column, level: int = 6, filters: tuple[str, ...] = (), digest: str = "SHA256") -> DataFrame:
-    """chunks (stream_id, chunk_no, data) as encoded chunks with the digest of the original and a CRC of the result."""
+def encoded(chunks: DataFrame, codec: Column, level: int = 6, filters: tuple[str, ...] = (), digest: str = "SHA256", spans: dict[str, int] | None = None, strides: tuple[int, ...] = (2, 4, 8)) -> DataFrame:
+    """chunks (stream_id, chunk_no, data) as encoded chunks with the digest of the original and a CRC of the result.
+
+    spans: for each codec the bytes that an arithmetic series must exceed.
+    """
     kind = chunks.schema["stream_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +180,7 @@ def encoded(chunks: DataFrame, codec: Column, level: int = 6, filters: tuple[str
             rows = []
             for d, c in zip(batch.column(2), batch.column(3), strict=True):
                 d, c = d.as_py(), c.as_py()
-                out, used, applied = encode_chunk(d, c, level, filters)
+                out, used, applied = encode_chunk(d, c, level, filters, (spans or {}).get(c, 50), strides)
                 rows.append((c, used, applied, len(d), out, DIGESTS[digest][1](d).hex(), zlib.crc32(out), 10))
             kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int32())
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
@@ -245,7 +251,9 @@ def filter_checks(streams: DataFrame) -> DataFrame:
 
 
 def keyed_macs(streams: DataFrame, key: bytes, digest: str = "SHA256") -> DataFrame:
-    """stream_id and its keyed digest in hex."""
+    """stream_id and its keyed digest in hex: an expression for SHA-2, an Arrow kernel for the others."""
+    if digest in ("SHA256", "SHA512"):
+        return streams.select("stream_id", digests.hmac(F.coalesce("data", F.lit(b"").cast("binary")), key, int(digest[3:])).alias("mac"))
     kind = streams.schema["stream_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,7 +73,11 @@ def with_sketch(blocks: DataFrame, average: int, extra: bool = False, least: int
 
 
 def similar_blocks(sketched: DataFrame, min_distance: int = 0) -> DataFrame:
-    """Blocks with the first block of equal sketch and length and other content; offsets of one stream stay apart."""
+    """Blocks with the first block of equal sketch and length and other content; offsets of one stream stay apart.
+
+    The first block of a group is the only one to look at. A reference leads back, and a block too near to the first one
+    is in its stream, so whatever stands between them is nearer still; a block equal to the first one is no new block.
+    """
     first = sketched.groupBy("sketch", "length").agg(F.min(F.struct("stream_id", "block_no", "offset", "cksum")).alias("o"))
     found = sketched.select("stream_id", "block_no", "offset", "length", "cksum", "sketch").join(first, ["sketch", "length"])
     apart = (F.col("o.stream_id") != F.col("stream_id")) | (F.abs(F.col("offset") - F.col("o.offset")) > min_distance)

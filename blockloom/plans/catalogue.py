@@ -605,3 +605,6 @@ def windowed_events(spark, sf_dir):
     """The batch form of the windowed counts that the streaming module offers."""
     events = streams.table(spark, sf_dir, "events")
     return streaming.late_counts(events).select("event_type", F.col("window.start").alias("hour"), "n")
+
+
+from blockloom.plans import runs  # noqa: E402, F401  (adds its queries to the dictionaries above)

@@ -1,12 +1,14 @@
 """Global deduplication of a stream of blocks with keyed state.
 
 First occurrence is by arrival across micro-batches, and by (stream_id, block_no) inside one. State lives in the state
-store by (cksum, length), so keys spread over tasks; a time to live bounds it.
+store by (cksum, length), so keys spread over tasks. A time to live bounds it: a block that has not been seen for so
+long is forgotten, and literal again when it comes back. Without one the state grows with the distinct blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,18 +18,29 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OUT = "stream_id long, block_no long, length long, cksum string, kind string, ref_stream long, ref_block long"
 
 
-def first_or_reference(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def first_or_reference(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, ttl_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     rows = pd.concat(frames).sort_values(["stream_id", "block_no"])
     first = state.get if state.exists else (int(rows.stream_id.iloc[0]), int(rows.block_no.iloc[0]))
     new = not state.exists
     state.update(first)
+    if ttl_ms:
+        state.setTimeoutDuration(ttl_ms)
     literal = [new and i == 0 for i in range(len(rows))]
     yield pd.DataFrame({"stream_id": rows.stream_id, "block_no": rows.block_no, "length": rows.length, "cksum": rows.cksum, "kind": ["literal" if x else "exact" for x in literal], "ref_stream": first[0], "ref_block": first[1]})
 
 
-def streaming_references(blocks: DataFrame) -> DataFrame:
-    """Each block of a streaming DataFrame (stream_id, block_no, length, cksum) with kind, ref_stream and ref_block."""
-    return blocks.select("stream_id", "block_no", "length", "cksum").groupBy("cksum", "length").applyInPandasWithState(first_or_reference, OUT, "ref_stream long, ref_block long", "append", GroupStateTimeout.NoTimeout)
+def streaming_references(blocks: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Each block of a streaming DataFrame (stream_id, block_no, length, cksum) with kind, ref_stream and ref_block.
+
+    ttl_ms: the processing time after which a block that has not come again is forgotten. Such a query looks for timeouts
+    again and again, so it needs a trigger that does not wait for an end, unlike that of run_to_table().
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    step = partial(first_or_reference, ttl_ms=ttl_ms)
+    return blocks.select("stream_id", "block_no", "length", "cksum").groupBy("cksum", "length").applyInPandasWithState(step, OUT, "ref_stream long, ref_block long", "append", timeout)
 
 
 def seen_once(blocks: DataFrame, time: str, delay: str) -> DataFrame:
