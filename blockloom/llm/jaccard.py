@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from blockloom.llm import text as T
 from blockloom.llm.components import components
-from blockloom.llm.shared import checkpoint, tidied
+from blockloom.llm.shared import checkpoint, mapped
 
 WORDS = 5
 SIMILARITY = (75, 100)
@@ -151,7 +151,7 @@ def arrays_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits"))
     docs = docs.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(words), "word")
     docs = docs.where(F.expr("shiftrightunsigned(bits, CAST(bit % 64 AS INT)) & 1L = 1L"))
-    return docs.select("text").mapInArrow(tidied(array_pass(n)), "node long, set binary")
+    return mapped(docs.select("text"), array_pass(n), "node long, set binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -205,7 +205,7 @@ def bounded(pairs: DataFrame, classes: DataFrame, share: tuple[int, int]) -> Dat
     def linked(x: tuple, y: tuple) -> bool:
         return q * min(x[0], y[0]) >= p * max(x[0], y[0]) and possible(x[0], y[0], x[1], y[1], share)
 
-    return by_hub(pairs, classes.select("node", "n", "bits")).mapInArrow(tidied(hub_pass(linked)), "a long, b long")
+    return mapped(by_hub(pairs, classes.select("node", "n", "bits")), hub_pass(linked), "a long, b long")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
@@ -219,7 +219,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, shar
         o = overlap(sa, sb)
         return share[1] * o >= share[0] * (len(sa) + len(sb) - o)
 
-    return by_hub(pairs, arrays).mapInArrow(tidied(hub_pass(linked)), "a long, b long")
+    return mapped(by_hub(pairs, arrays), hub_pass(linked), "a long, b long")
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -402,7 +402,7 @@ def open_tiles(runs: DataFrame, known: DataFrame, classes: DataFrame) -> DataFra
 
 def open_pairs(runs: DataFrame, known: DataFrame, classes: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Pairs of nodes of different components that share a run and can be similar by size and bitmap."""
-    return open_tiles(runs, known, classes).mapInArrow(tidied(tile_pass(share)), "a long, b long").distinct()
+    return mapped(open_tiles(runs, known, classes), tile_pass(share), "a long, b long").distinct()
 
 
 def dealt(left: DataFrame, right: DataFrame, n_left: str = "blocks_left", n_right: str = "blocks_right") -> tuple[DataFrame, DataFrame]:
@@ -430,7 +430,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: tuple[int, in
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where("doc_id IS NOT NULL")
-    first = checkpoint(docs.mapInArrow(tidied(node_pass(words)), "doc_id long, n long, node long, recurring boolean, bits binary"))
+    first = checkpoint(mapped(docs, node_pass(words), "doc_id long, n long, node long, recurring boolean, bits binary"))
     everything, recurring = first.where("NOT recurring"), first.where("recurring")
     rows = everything.where("doc_id IS NOT NULL")
     top = recurring.groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "node").limit(HEAVY).collect()  # HEAVY shingles at most
@@ -439,7 +439,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, share: tuple[int, in
     cuts = np.array([max(1, -(-r["n"] // PART)) for r in top], np.int64)[order]
     heavy = heavy[order]
 
-    placed = named.select("text").mapInArrow(tidied(prefix_pass(words, heavy, cuts, share)), "key long, part int, node long, n int")
+    placed = mapped(named.select("text"), prefix_pass(words, heavy, cuts, share), "key long, part int, node long, n int")
     run = Window.partitionBy("key", "part")
     wide = placed.withColumns({"lo": F.min("node").over(run), "hi": F.max("node").over(run), "m": F.count("*").over(run)})
     # parts of a large run belong together, whatever one of them holds

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm import text as T
-from blockloom.llm.shared import carried, extended, tidied
+from blockloom.llm.shared import carried, extended, mapped
 
 ORDERS = (1, 2, 3)
 BITS = 10
@@ -197,7 +197,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 values = [pa.array(np.where(on, names[best], UNKNOWN), pa.string()), pa.array(np.where(on, score, 0.0)), pa.array(~on | (lead < AMBIGUOUS))]
                 yield pa.RecordBatch.from_arrays([*rest, *values], names=[*batch.schema.names[:-1], "lang_pred", "score", "ambiguous"])
 
-    out = docs.mapInArrow(tidied(run), schema)
+    out = mapped(docs, run, schema)
     return out.select(*columns(out), *made)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from blockloom.llm import text as T
 from blockloom.llm.running import random_key, running
-from blockloom.llm.shared import carried, checkpoint, extended, tidied
+from blockloom.llm.shared import carried, checkpoint, extended, mapped
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
@@ -48,7 +48,7 @@ def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(T.bounds(raw, off)[2]), pa.int64())], names=[*part.schema.names[:-1], "_size"])
 
-    return rows.mapInArrow(tidied(run), extended(rows.drop("text"), "_size long"))
+    return mapped(rows, run, extended(rows.drop("text"), "_size long"))
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, most_times: int = MOST_TIMES) -> list[float]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm import text as T
-from blockloom.llm.shared import extended, tidied
+from blockloom.llm.shared import extended, mapped
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -103,7 +103,7 @@ def quality(docs: DataFrame) -> DataFrame:
     """docs with the measures of FIELDS, base_failed, failed (names of the method's rules that failed) and kept."""
     made = [*(n for n, _ in FIELDS), "base_failed", "failed", "kept"]
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in made))
-    out = docs.mapInArrow(tidied(_measured), extended(docs, ", ".join(f"{n} long" for n, _ in FIELDS)))
+    out = mapped(docs, _measured, extended(docs, ", ".join(f"{n} long" for n, _ in FIELDS)))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rules = [(f"dup_{n}gram", F.col(f"dup_{n}gram_chars") > most * F.col("word_chars")) for n, most in COVERAGE]
     rules.append(("dup_line", F.col("dup_line_chars") > MAX_LINE_SHARE * F.col("word_chars")))

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.shared import extended, tidied
+from blockloom.llm.shared import extended, mapped
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW](?:[oO][rR][dD]|[dD])|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -91,7 +91,7 @@ def identifiers(docs: DataFrame) -> bytes:
             words, places = zip(*sorted(found), strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.int64())], names=["word", "place"])
 
-    rows = docs.select("text").mapInArrow(tidied(near), "word string, place long").distinct()
+    rows = mapped(docs.select("text"), near, "word string, place long").distinct()
     counts = rows.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= SURROUNDINGS)
     top = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()  # DICTIONARY words at most
     return " ".join(r["word"] for r in reversed(top)).encode()
@@ -210,4 +210,4 @@ def secrets(docs: DataFrame, redact: bool = False) -> DataFrame:
             digest = pa.array([hashlib.sha256(joined([s for s in x if s[1] < 3]).encode()).hexdigest() for x in found], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *counts, digest, pa.array([joined(x) for x in found], pa.string()), pa.array(news, pa.string())], names=[*batch.schema.names, *made])
 
-    return docs.mapInArrow(tidied(scanned), extended(docs, ", ".join(NEW)))
+    return mapped(docs, scanned, extended(docs, ", ".join(NEW)))

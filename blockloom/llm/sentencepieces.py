@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.llm.shared import extended, tidied
+from blockloom.llm.shared import extended, mapped
 
 MARK = "▁"
 ROW = 32
@@ -274,4 +274,4 @@ def pieces(docs: DataFrame, model_file: str, digests_only: bool = False) -> Data
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(own), "<u4").astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(columns[n] for n in made)], names=[*part.schema.names, *made])
 
-    return docs.mapInArrow(tidied(encoded), extended(docs, ", ".join(new)))
+    return mapped(docs, encoded, extended(docs, ", ".join(new)))

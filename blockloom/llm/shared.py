@@ -15,6 +15,8 @@ from pyspark.sql.types import StructField, StructType
 from blockloom.llm import text
 
 CARRIED = "_carried"
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def carried(df: DataFrame, used: Iterable[str], made: Iterable[str] = ()) -> tuple[DataFrame, Callable[[DataFrame], list]]:
@@ -51,6 +53,18 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return wrapped
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df through run, tidied, in Arrow batches of about BATCH_BYTES or of one row.
+
+    Every running task holds a batch in the JVM and again in the Python worker. The bound is the session's setting, which
+    Spark reads when the query runs; a session that has set its own keeps it.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(tidied(run), schema)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; only where it is unset, and the executors are local, a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.shared import checkpoint_dir, tidied
+from blockloom.llm.shared import checkpoint_dir, mapped
 
 MIN_REVISIT = 1000
 SEGMENT = 16 << 10
@@ -118,7 +118,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT,
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    lines = rows.mapInArrow(tidied(written), "value binary").select(F.col("value").cast("string").alias("value"))
+    lines = mapped(rows, written, "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.mode("overwrite").option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -209,7 +209,7 @@ def records(spark: SparkSession, path: str, segmented: bool) -> DataFrame:
                     yield arrow(out, RECORD)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
-    return files.mapInArrow(tidied(read), RECORD)
+    return mapped(files, read, RECORD)
 
 
 def reassembled(segments: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def reassembled(segments: DataFrame) -> DataFrame:
                 whole = numbers == list(range(1, len(numbers) + 1)) and total == len(block)
                 yield arrow([(page_id, kind, refers_to, digest, block, None if whole else "segments do not add up to the total length")], WHOLE)
 
-    return by.mapInArrow(tidied(run), WHOLE)
+    return mapped(by, run, WHOLE)
 
 
 def decode(record_type: str, digest: str | None, block: bytes) -> tuple[int | None, str | None, bytes | None, str | None]:
@@ -257,7 +257,7 @@ def decoded(whole: DataFrame, payloads: bool) -> DataFrame:
                 out.append((page_id, kind, refers_to, n, sha, payload if payloads else None, bad))
             yield arrow(out, DECODED)
 
-    return whole.mapInArrow(tidied(run), DECODED)
+    return mapped(whole, run, DECODED)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

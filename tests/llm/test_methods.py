@@ -7,12 +7,13 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from blockloom.llm import chat, embeddings, jaccard, langid, mixing, oracles, queries, quality, secrets, sharding
+from blockloom.llm import chat, embeddings, jaccard, langid, mixing, oracles, queries, quality, secrets, sharding, shared
 from blockloom.llm import text as T
 from tests.llm.test_join_operators import WORD, brute_components, brute_vectors, check_jaccard
 
@@ -314,3 +315,24 @@ def test_stage_near_duplicates_agrees_with_components(spark, odd, sf):
     kept = [r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, odd.where("doc_id IS NOT NULL"), sf).collect()]
     assert sorted(kept) == sorted(set(groups.values()))
     assert quality.quality(odd).count() == odd.count()
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Texts go through Python in batches of some megabytes, unless the session has set a bound."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    def most():
+        rows = spark.range(0, 2_000, 1, 1).select(F.repeat(F.lit("word "), 2_000).alias("text"))
+        return max(r["n"] for r in shared.mapped(rows, sizes, "n long").collect())
+
+    name, before = shared.BATCH_SETTING, spark.conf.get(shared.BATCH_SETTING, None)
+    try:
+        spark.conf.unset(name)
+        assert most() < 2 * shared.BATCH_BYTES
+        spark.conf.set(name, "1m")
+        assert most() < 2 << 20 and spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
