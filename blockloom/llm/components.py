@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.shared import checkpoint
 
-MOST_ROUNDS = 50
-
 
 def large_star(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to its smallest one (or itself)."""
@@ -39,13 +37,10 @@ def settled(links: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) as longs, in any direction and number; gives node and component, the smallest node reachable.
 
-    Nodes without a link to another are left out. A component is labelled by one of its nodes, the smallest.
+    Nodes without a link to another are left out. A component is labelled by one of its nodes, the smallest. The steps
+    end for any links, since every round that changes them moves links to smaller nodes.
     """
     links = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(MOST_ROUNDS):
-        if settled(links):
-            break
+    while not settled(links):
         links = checkpoint(small_star(large_star(links)))
-    else:
-        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -31,9 +31,9 @@ from blockloom.llm.shared import carried, checkpoint, extended, mapped
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
 BLOCK = 1024
-MOST_SLOTS = 1 << 26
 MOST_SOURCES = 100_000
 GOLDEN = (math.sqrt(5) - 1) / 2
+GOLDEN_64 = np.uint64(0x9E3779B97F4A7C15)  # GOLDEN in units of 2**-64
 SEED = 77
 MADE = ("size", "source_size", "target", "taken", "first_slot")
 
@@ -72,8 +72,9 @@ def schedule(spark: SparkSession, need: list[int]) -> DataFrame:
 
     def located(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            u = (ids * GOLDEN + 0.5) % 1.0
+            # in integers, so that the points of large numbers are as exact as those of small ones
+            turned = batch.column(0).to_numpy().astype(np.uint64) * GOLDEN_64 + np.uint64(1 << 63)
+            u = (turned >> np.uint64(11)).astype(np.float64) / 2.0**53
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.searchsorted(edges, u, "right").astype(np.int32))], names=["slot", "_s"])
 
     placed = spark.range(n_slots).mapInArrow(located, "slot long, _s int")
@@ -107,7 +108,6 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most_times: int
     sizes = [r["n"] for r in found]
     target = targets(sizes, weights, most_times)
     take = [min(round(t), most_times * n) for t, n in zip(target, sizes, strict=True)]
-    block = max(block, -(-sum(sizes) // MOST_SLOTS))
     need = [k // n * -(-n // block) + -(-(k % n) // block) if n else 0 for k, n in zip(take, sizes, strict=True)]
     table = [(i, r["source"], r["n"], t, k) for i, (r, t, k) in enumerate(zip(found, target, take, strict=True))]
     sources = F.broadcast(spark.createDataFrame(table, "_s int, _source string, source_size long, target double, _take long"))  # MOST_SOURCES rows at most
