@@ -293,7 +293,7 @@ def type_by_magic(spark, sf_dir):
     heads = ["%PDF-1.4".encode().hex(), b"RIFF\x01\x01\x01\x01WAVEfmt ".hex(), b"\x7fELF\x02\x01\x01".hex(), b"\xff\xd8\xff\xe0\x00\x10JFIF\x00".hex(), b"P6\n".hex(), b"".hex()]
     rows = streams.table(spark, sf_dir, "pages").withColumn("k", F.col("page_id") % 6)
     head = F.unhex(F.element_at(F.array(*map(F.lit, heads)), (F.col("k") + 1).cast("int")))
-    kind = content.type_by_magic(F.concat(head, F.encode(F.substring("html", 1, 200), "UTF-8")))
+    kind = content.type_by_magic(F.concat(head, F.encode("html", "UTF-8")))
     return rows.select("k", kind.alias("kind")).groupBy("k", "kind").agg(F.count("*").alias("n"))
 
 
