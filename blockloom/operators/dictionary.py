@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockloom.shared import kept
+
 WORD_MIN, WORD_MAX = 3, 50
 LEAST_BYTES = 4500
 BASE = 217
@@ -19,11 +20,12 @@ SEPARATORS = r"[\x00-\x20.,;:!?()\[\]{}<>\"']+"
 LINES = r"\n+"
 
 
-def word_frequency(docs: DataFrame, text: str = "text", separators: str = SEPARATORS) -> DataFrame:
-    """word, n for words of WORD_MIN to WORD_MAX bytes, their first letter in lower case."""
-    words = docs.select(F.explode(F.split(text, separators)).alias("w"))
-    words = words.select(F.concat(F.lower(F.substring("w", 1, 1)), F.expr("substring(w, 2)")).alias("word"))
-    words = words.where(F.octet_length("word").between(WORD_MIN, WORD_MAX))
+def word_frequency(docs: DataFrame, text: str = "text", separators: str = SEPARATORS, most: int = WORD_MAX) -> DataFrame:
+    """word, n for words of WORD_MIN to `most` bytes, their first letter in lower case, but for lines."""
+    words = docs.select(F.explode(F.split(text, separators)).alias("word"))
+    if separators != LINES:
+        words = words.select(F.concat(F.lower(F.substring("word", 1, 1)), F.expr("substring(word, 2)")).alias("word"))
+    words = words.where(F.octet_length("word").between(WORD_MIN, most))
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -33,14 +35,6 @@ def candidates(frequency: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     return out.where((F.col("n") * F.col("len") > least) & (F.col("n") > 1)).withColumn("weight", (F.col("n") - 1) * (F.col("len") - 1))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df checkpointed in the session's spark.checkpoint.dir, or in a temporary folder where that is unset."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def ranked(chosen: DataFrame) -> DataFrame:
     """Candidates in dictionary order with rank, code bytes and what each saves: word, rank, saving, total_saving.
 
@@ -83,19 +77,24 @@ def unnumber(data: bytes, at: int) -> tuple[int, int]:
     return sum((c - 32) * BASE**k for k, c in enumerate(data[at:end])), end + 1
 
 
-def encode(text: bytes, index: dict[bytes, int]) -> bytes:
-    """Words of the dictionary as numbers, with a mark for a capital first letter; numbers of 5 to 9 digits re-based."""
+def encode(text: bytes, index: dict[bytes, int], lines: bool = False) -> bytes:
+    """Words of the dictionary as numbers, with a mark for a capital first letter; numbers of 5 to 9 digits re-based.
+
+    With lines the words are whole lines, as they stand, and numbers stay.
+    """
     out, last = [], 0
 
     def plain(part: bytes) -> bytes:
         return re.sub(rb"[\x01-\x05]", lambda m: ESCAPE + m[0], part)
 
-    for m in re.finditer(rb"[A-Za-z\x80-\xff]{%d,%d}|" % (WORD_MIN, WORD_MAX) + NUMBER.pattern, text):
+    for m in re.finditer(rb"[^\n]+" if lines else rb"[A-Za-z\x80-\xff]{%d,%d}|" % (WORD_MIN, WORD_MAX) + NUMBER.pattern, text):
         w = m[0]
-        if w[:1].isdigit():
-            code = DIGITS + number(int(w))
-        elif w in index:
+        if w in index:
             code = WORD + number(index[w])
+        elif lines:
+            continue
+        elif w[:1].isdigit():
+            code = DIGITS + number(int(w))
         elif w[:1].isupper() and w[:1].lower() + w[1:] in index:
             code = UPPER + number(index[w[:1].lower() + w[1:]])
         else:
@@ -122,7 +121,7 @@ def decode(data: bytes, words: list[bytes]) -> bytes:
     return bytes(out)
 
 
-def encoded(streams: DataFrame, words: list[str]) -> DataFrame:
+def encoded(streams: DataFrame, words: list[str], lines: bool = False) -> DataFrame:
     """stream_id, raw_bytes, encoded_bytes (raw if coding is no gain) and whether decoding gives the stream back."""
     kind = streams.schema["stream_id"].dataType.simpleString()
     raw = [w.encode() for w in words]
@@ -131,7 +130,7 @@ def encoded(streams: DataFrame, words: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [d.as_py() for d in batch.column(1)]
-            code = [encode(d, index) for d in data]
+            code = [encode(d, index, lines) for d in data]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) for d in data], pa.int64()), pa.array([min(len(c), len(d)) for c, d in zip(code, data, strict=True)], pa.int64()), pa.array([decode(c, raw) == d for c, d in zip(code, data, strict=True)])], names=["stream_id", "raw_bytes", "encoded_bytes", "restored"])
 
     return streams.select("stream_id", "data").mapInArrow(run, f"stream_id {kind}, raw_bytes long, encoded_bytes long, restored boolean")

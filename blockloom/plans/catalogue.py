@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import content, sizes
 from blockloom.operators import archive, chunking, codecs, dedupe, delta, dictionary, rebuild, secrecy, similarity
+from blockloom.shared import kept, shared_dir
 from blockloom.sources import streams
 from blockloom.streaming import dedupe as streaming
 
@@ -329,8 +329,11 @@ WHEN seps < 4 THEN right(fol || substr(nm, 1, 5 - least(seps, 4)), 4) ELSE right
 
 @query(f"WITH {SQL_KEYS} SELECT path, flag, key, size, row_number() OVER (ORDER BY flag, key, size, path) AS pos FROM g")
 def member_order(spark, sf_dir):
-    """Positions from ranges: rows are range-partitioned and sorted, and each partition starts where the last ended."""
-    rows = archive.ordered(members(spark, sf_dir), clustered_only=True).select("path", "flag", "key", "size").withColumn("_p", F.spark_partition_id())
+    """Positions from ranges: rows are range-partitioned and sorted, and each partition starts where the last ended.
+
+    The ranges are kept, since another run could draw other bounds.
+    """
+    rows = kept(archive.ordered(members(spark, sf_dir), clustered_only=True).select("path", "flag", "key", "size").withColumn("_p", F.spark_partition_id()))
     rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("flag", "key", "size", "path")))
     counts = rows.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -366,8 +369,13 @@ def type_change_cuts(spark, sf_dir):
 @query("SELECT 'd/' || doc_id || '.txt' AS path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS digest FROM documents")
 def tar_round_trip(spark, sf_dir):
     rows = streams.documents(spark, sf_dir).select(F.concat(F.lit("d/"), "stream_id", F.lit(".txt")).alias("path"), "data")
-    packed = archive.tar_archives(rows, max(16, spark.sparkContext.defaultParallelism))
-    return archive.tar_members(packed).select("path", "size", F.sha2("data", 256).alias("digest"))
+    return archive.archive_members(archive.tar_archives(rows, archive.archive_count(rows))).select("path", "size", F.sha2("data", 256).alias("digest"))
+
+
+@query("SELECT 'p/' || page_id || '.html' AS path, CAST(strlen(html) AS BIGINT) AS size, sha256(html) AS digest FROM pages")
+def zip_round_trip(spark, sf_dir):
+    rows = streams.pages(spark, sf_dir).select(F.concat(F.lit("p/"), "stream_id", F.lit(".html")).alias("path"), "data")
+    return archive.archive_members(archive.zip_archives(rows, archive.archive_count(rows))).select("path", "size", F.sha2("data", 256).alias("digest"))
 
 
 # words
@@ -383,6 +391,12 @@ def word_frequency(spark, sf_dir):
     return dictionary.word_frequency(streams.table(spark, sf_dir, "documents"))
 
 
+@query(f"""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\\n+')) AS word FROM documents) WHERE strlen(word) BETWEEN {dictionary.WORD_MIN} AND 1024 GROUP BY word""")
+def line_frequency(spark, sf_dir):
+    """Lines as words, the form for sequence data."""
+    return dictionary.word_frequency(streams.table(spark, sf_dir, "documents"), separators=dictionary.LINES, most=1024)
+
+
 @query(f"WITH {SQL_WORDS} SELECT word, n, len, CAST(weight AS BIGINT) AS weight FROM ca")
 def dictionary_candidates(spark, sf_dir):
     return dictionary.candidates(dictionary.word_frequency(streams.table(spark, sf_dir, "documents")))
@@ -550,8 +564,7 @@ def encryption_round_trip(spark, sf_dir):
 @query()
 def streaming_dedupe(spark, sf_dir):
     """Blocks of documents as a file stream, deduplicated with state; only digests are kept."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    folder = f"{base}/stream-{uuid.uuid4()}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4()}"
     blocks(spark, sf_dir, BLOCK).write.parquet(f"{folder}/in")
     source = streams.stream_of(spark, f"{folder}/in", "stream_id long, block_no long, offset long, length long, cksum string")
     out = streaming.run_to_table(spark, streaming.streaming_references(source), f"{folder}/out", f"{folder}/state")

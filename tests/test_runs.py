@@ -170,3 +170,81 @@ def test_state_is_forgotten():
     assert kinds() == [] and not state.exists
     state.hasTimedOut = False
     assert kinds() == ["literal", "exact"]
+
+
+def test_groups_of_a_part_over_many_ranges(spark):
+    import itertools
+    import random
+
+    from blockloom.operators import archive
+
+    rng, rows = random.Random(3), []
+    for part, n in (("hot", 900), ("b", 40), (None, 30), ("one", 1)):
+        t = "x"
+        for no in range(n):
+            t = rng.choice(["x", "y", None]) if rng.random() < 0.1 else t
+            rows.append((part, no, t, rng.randrange(50)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "part string, no long, kind string, size long").repartition(7)
+    want, cut = [], []
+    for part in ("hot", "b", None, "one"):
+        mine = sorted((r for r in rows if r[0] == part), key=lambda r: r[1])
+        for i, (k, g) in enumerate(itertools.groupby(mine, key=lambda r: r[2])):
+            g = list(g)
+            want.append((part, i + 1, k, len(g), sum(r[3] for r in g)))
+        mine_cut = []
+        for _, _, k, size in mine:
+            if not mine_cut or mine_cut[-1][2] != k and mine_cut[-1][4] >= 300:
+                mine_cut.append([part, len(mine_cut) + 1, k, 0, 0])
+            mine_cut[-1][3] += 1
+            mine_cut[-1][4] += size
+        cut += map(tuple, mine_cut)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small ranges stay apart
+    try:
+        assert set(map(tuple, archive.type_groups(df, "part", ["no"], "kind").collect())) == set(want)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    got = archive.type_groups(df, "part", ["no"], "kind").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == set(want)
+    got = archive.type_cuts(df, "part", "no", "kind", 300).collect()
+    assert len(got) == len(cut) and set(map(tuple, got)) == set(cut)
+    empty = df.limit(0)
+    assert archive.type_groups(empty, "part", ["no"], "kind").count() == archive.type_cuts(empty, "part", "no", "kind", 300).count() == 0
+
+
+def test_archives_of_both_formats(spark):
+    import io
+    import zipfile
+
+    from blockloom.operators import archive
+
+    rows = [(f"a/{i}", bytes([i]) * (i * 9)) for i in range(40)] + [("/etc/x", b"out"), ("../x", b"out")]
+    df = spark.createDataFrame(rows, "path string, data binary")
+    assert archive.archive_count(df, 1000) > 40 and archive.archive_count(df) == archive.archive_count(df.limit(0)) == 1
+    for pack in (archive.tar_archives, archive.zip_archives):
+        for n in (1, 7):
+            got = sorted((r["path"], bytes(r["data"])) for r in archive.archive_members(pack(df, n)).collect())
+            assert got == sorted(r for r in rows if r[0][0] == "a")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        link = zipfile.ZipInfo("link")
+        link.external_attr = 0o120777 << 16
+        z.writestr(link, "a/1")
+        z.writestr("dir/", "")
+        z.writestr("f", "body")
+    assert list(archive.opened(out.getvalue())) == [("f", b"body")]
+
+
+def test_lines_as_words(spark):
+    from blockloom.operators import dictionary
+
+    text = ">seq 1\nACGT12345ACGT\n\nacgt\nACGT12345ACGT\nTail"
+    df = spark.createDataFrame([(1, text)], "stream_id long, text string")
+    got = {r["word"]: r["n"] for r in dictionary.word_frequency(df, separators=dictionary.LINES).collect()}
+    assert got == {">seq 1": 1, "ACGT12345ACGT": 2, "acgt": 1, "Tail": 1}
+    words = ["ACGT12345ACGT", "tail"]
+    code = dictionary.encode(text.encode(), {w.encode(): i for i, w in enumerate(words)}, lines=True)
+    assert dictionary.decode(code, [w.encode() for w in words]).decode() == text
+    assert code.count(dictionary.WORD) == 2 and dictionary.DIGITS not in code and dictionary.UPPER not in code
+    row = dictionary.encoded(df.select("stream_id", df.text.cast("binary").alias("data")), words, lines=True).first()
+    assert row["restored"] and row["encoded_bytes"] < row["raw_bytes"]
