@@ -250,6 +250,45 @@ def filter_checks(streams: DataFrame) -> DataFrame:
     return streams.select("stream_id", "data").mapInArrow(run, f"stream_id {kind}, filter string, applied boolean, restored boolean")
 
 
+#: The filters of a subtype of content, tried in this order.
+BY_SUBTYPE = {"exe32": ("x86",), "exe64": ("x86",), "wav": ("delta",), "bmp": ("delta",), "pnm": ("delta",), "tar": ("lzp",)}
+
+
+def filtered(streams: DataFrame, by_subtype: dict[str, tuple[str, ...]] = BY_SUBTYPE) -> DataFrame:
+    """streams (stream_id, subtype, data) through the first filter of their subtype that applies: stream_id, filter_name, data.
+
+    filter_name is null where none applied, data then being as it was. A null subtype has no filter; null data stays null.
+    """
+    kind = streams.schema["stream_id"].dataType.simpleString()
+
+    def one(subtype: str | None, data: bytes | None) -> tuple[str | None, bytes | None]:
+        for name in by_subtype.get(subtype, ()) if data is not None else ():
+            made = FILTERS[name][0](data)
+            if made is not None:
+                return name, made
+        return None, data
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [one(t.as_py(), d.as_py()) for t, d in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in out], pa.string()), pa.array([d for _, d in out], pa.binary())], names=["stream_id", "filter_name", "data"])
+
+    return streams.select("stream_id", "subtype", "data").mapInArrow(run, f"stream_id {kind}, filter_name string, data binary")
+
+
+def unfiltered(made: DataFrame) -> DataFrame:
+    """stream_id and data of what filtered() made, as it was before."""
+    kind = made.schema["stream_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, data = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            back = [FILTERS[n][1](d) if n else d for n, d in zip(names, data, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(back, pa.binary())], names=["stream_id", "data"])
+
+    return made.select("stream_id", "filter_name", "data").mapInArrow(run, f"stream_id {kind}, data binary")
+
+
 def keyed_macs(streams: DataFrame, key: bytes, digest: str = "SHA256") -> DataFrame:
     """stream_id and its keyed digest in hex: an expression for SHA-2, an Arrow kernel for the others."""
     if digest in ("SHA256", "SHA512"):

@@ -34,6 +34,16 @@ def summary(blocks: DataFrame) -> DataFrame:
     )
 
 
+def detail(refs: DataFrame, longest: int) -> DataFrame:
+    """One row: blocks of the longest length that the cutting allows, and literal blocks that go on from another, so that
+    an index merges them."""
+    none = F.lit(0).cast("long")
+    blocks = refs.agg(F.count_if(F.col("length") >= longest).alias("max_length_blocks"), F.count_if(F.col("kind") == "literal").alias("literals"), none.alias("entries"))
+    entries = unique_runs(refs).agg(none.alias("max_length_blocks"), none.alias("literals"), F.count("*").alias("entries"))
+    out = blocks.unionByName(entries).agg(F.sum("max_length_blocks").alias("max_length_blocks"), F.sum("literals").alias("literals"), F.sum("entries").alias("entries"))
+    return out.select("max_length_blocks", "literals", (F.col("literals") - F.col("entries")).alias("merged"))
+
+
 def unique_runs(refs: DataFrame, most: int = MAX_RUN) -> DataFrame:
     """Literal blocks that follow each other as one entry: stream_id, run, first_block, start, length, n_blocks."""
     order = Window.partitionBy("stream_id").orderBy("block_no")

@@ -95,6 +95,12 @@ def dedupe_unique_runs(spark, sf_dir):
     return as_doc(out.withColumn("run", F.col("run").cast("long")))
 
 
+@query(f"""WITH {sql_refs(SMALL)}, l AS (SELECT *, lag(block_no) OVER (PARTITION BY doc_id ORDER BY block_no) AS was FROM k WHERE kind = 'literal')
+SELECT (SELECT count(*) FROM k WHERE length >= {SMALL}) AS max_length_blocks, count(*) AS literals, count(*) FILTER (block_no = was + 1) AS merged FROM l""")
+def dedupe_detail(spark, sf_dir):
+    return dedupe.detail(dedupe.references(blocks(spark, sf_dir)), SMALL)
+
+
 @query(f"""WITH {sql_refs(SMALL)}, s AS (SELECT doc_id, count(*) AS n_blocks, CAST(sum(CASE WHEN kind = 'exact' THEN length ELSE 0 END) AS BIGINT) AS saved FROM k GROUP BY doc_id)
 SELECT *, n_blocks * 4 AS index_bytes, n_blocks > 2 AND saved >= n_blocks * 4 AS worthwhile FROM s""")
 def dedupe_worthwhile(spark, sf_dir):
@@ -360,7 +366,11 @@ def type_change_groups(spark, sf_dir):
     return archive.type_groups(rows, "part", ["no"], "prim")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_TYPED}, s AS (SELECT part, prim, size, row_number() OVER (PARTITION BY part ORDER BY no) AS i FROM y),
+f(part, i, group_no, kind, bytes) AS (SELECT part, i, CAST(1 AS BIGINT), prim, size FROM s WHERE i = 1 UNION ALL
+  SELECT part, i, group_no + CASE WHEN nw THEN 1 ELSE 0 END, CASE WHEN nw THEN prim ELSE kind END, size + CASE WHEN nw THEN 0 ELSE bytes END
+  FROM (SELECT s.*, group_no, kind, bytes, prim <> kind AND bytes >= 10000 AS nw FROM f JOIN s ON s.part = f.part AND s.i = f.i + 1))
+SELECT part, group_no, min(kind) AS kind, count(*) AS n, max(bytes) AS bytes FROM f GROUP BY part, group_no""")
 def type_change_cuts(spark, sf_dir):
     rows = content.type_by_extension(members(spark, sf_dir)).withColumnRenamed("primary", "prim")
     return archive.type_cuts(rows, "part", "no", "prim", 10_000)
@@ -561,9 +571,12 @@ def encryption_round_trip(spark, sf_dir):
 
 # streams
 
-@query()
+@query(f"WITH {sql_refs(BLOCK)} SELECT doc_id, block_no, length, cksum, kind, ref_stream, ref_block FROM k")
 def streaming_dedupe(spark, sf_dir):
-    """Blocks of documents as a file stream, deduplicated with state; only digests are kept."""
+    """Blocks of documents as a file stream, deduplicated with state; only digests are kept.
+
+    All files are there before the stream starts and make one micro-batch, so the first occurrence is that of the table.
+    """
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4()}"
     blocks(spark, sf_dir, BLOCK).write.parquet(f"{folder}/in")
     source = streams.stream_of(spark, f"{folder}/in", "stream_id long, block_no long, offset long, length long, cksum string")
@@ -592,12 +605,17 @@ def mac_manifest(spark, sf_dir):
     return as_doc(codecs.keyed_macs(streams.documents(spark, sf_dir), MAC_KEY))
 
 
+def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of documents decoded again, after every tenth document's were damaged."""
+    coded = codecs.encoded(chunking.chunks(streams.documents(spark, sf_dir), 1 << 20), F.lit("zlib"))
+    hurt = F.concat(F.lit(b"\0").cast("binary"), F.col("data"))
+    return codecs.decoded(coded.withColumn("data", F.when(F.col("stream_id") % 10 == 0, hurt).otherwise(F.col("data"))))
+
+
 @query("SELECT CASE WHEN doc_id % 10 = 0 THEN 'crc' END AS error, count(*) AS n FROM documents WHERE strlen(text) > 0 GROUP BY 1")
 def error_quarantine(spark, sf_dir):
     """Chunks of every tenth document are damaged; what verification says, counted."""
-    coded = codecs.encoded(chunking.chunks(streams.documents(spark, sf_dir), 1 << 20), F.lit("zlib"))
-    hurt = F.concat(F.lit(b"\0").cast("binary"), F.col("data"))
-    return codecs.decoded(coded.withColumn("data", F.when(F.col("stream_id") % 10 == 0, hurt).otherwise(F.col("data")))).groupBy("error").agg(F.count("*").alias("n"))
+    return damaged(spark, sf_dir).groupBy("error").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, strlen(text) AS n FROM documents WHERE false")
@@ -613,6 +631,12 @@ def x86_blocks(spark, sf_dir):
     return streams.documents(spark, sf_dir).mapInArrow(run, "doc_id long, n long")
 
 
+@query("SELECT doc_id, unnest(range(0, (strlen(text) + 1048575) // 1048576)) AS chunk_no, 'crc' AS error FROM documents WHERE doc_id % 10 = 0 AND strlen(text) > 0")
+def error_list(spark, sf_dir):
+    """The chunks that error_quarantine counts, one by one."""
+    return as_doc(damaged(spark, sf_dir).where("error IS NOT NULL").select("stream_id", "chunk_no", "error"))
+
+
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
 def windowed_events(spark, sf_dir):
     """The batch form of the windowed counts that the streaming module offers."""

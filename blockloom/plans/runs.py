@@ -141,10 +141,13 @@ def coded(key: Column) -> Column:
     return F.unhex(F.repeat(F.lit(CODE.hex()), F.pmod(key, F.lit(12)).cast("int") * 8))
 
 
-@c.query(f"""WITH d AS (SELECT doc_id, repeat('{CODE.hex().upper()}', CAST(doc_id % 12 AS INT) * 8) || hex(encode(text)) AS h FROM documents),
+SQL_CODED = f"""d AS (SELECT doc_id, repeat('{CODE.hex().upper()}', CAST(doc_id % 12 AS INT) * 8) || hex(encode(text)) AS h FROM documents),
 x AS (SELECT doc_id, substr(h, 1 + 2 * i, 2) AS b FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM d)),
-n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (b = '8B') AS m, count(*) FILTER (b = '00') AS z, count(*) FILTER (b = 'E8') AS e FROM x GROUP BY doc_id)
-SELECT doc_id, coalesce(m > n / 256 AND z > 2 * n / 256 AND e > 6, false) AS applied, true AS restored FROM d LEFT JOIN n USING (doc_id)""")
+n AS (SELECT doc_id, count(*) AS n, count(*) FILTER (b = '8B') AS m, count(*) FILTER (b = '00') AS z, count(*) FILTER (b = 'E8') AS e FROM x GROUP BY doc_id),
+a AS (SELECT doc_id, coalesce(m > n / 256 AND z > 2 * n / 256 AND e > 6, false) AS applied FROM d LEFT JOIN n USING (doc_id))"""
+
+
+@c.query(f"WITH {SQL_CODED} SELECT doc_id, applied, true AS restored FROM a")
 def x86_planted(spark, sf_dir):
     """The call filter over documents after bytes like those of machine code: where it applied, and that it can be undone."""
     rows = streams.documents(spark, sf_dir).withColumn("data", F.concat(coded(F.col("stream_id")), F.col("data")))
@@ -161,3 +164,15 @@ def filters_planted(spark, sf_dir):
     """Filters over documents that stand twice before a series: all apply and can be undone."""
     rows = kernel(streams.documents(spark, sf_dir).where(F.octet_length("data") >= 200), repeated)
     return c.as_doc(codecs.filter_checks(rows).where("filter IN ('lzp', 'delta')"))
+
+
+@c.query(f"WITH {SQL_CODED} SELECT doc_id, CASE WHEN applied AND doc_id % 2 = 0 THEN 'x86' END AS filter_name, true AS restored FROM a")
+def filters_by_type(spark, sf_dir):
+    """Filters chosen by type: documents after bytes like those of machine code, every other one typed as such."""
+    rows = streams.documents(spark, sf_dir).withColumn("data", F.concat(coded(F.col("stream_id")), F.col("data")))
+    rows = rows.withColumn("subtype", F.when(F.col("stream_id") % 2 == 0, "exe32").otherwise(""))
+    made = codecs.filtered(rows)
+    back = codecs.unfiltered(made).select("stream_id", F.sha2("data", 256).alias("back"))
+    want = rows.select("stream_id", F.sha2("data", 256).alias("want"))
+    out = made.select("stream_id", "filter_name").join(back, "stream_id").join(want, "stream_id")
+    return c.as_doc(out.select("stream_id", "filter_name", (F.col("back") == F.col("want")).alias("restored")))

@@ -248,3 +248,26 @@ def test_lines_as_words(spark):
     assert code.count(dictionary.WORD) == 2 and dictionary.DIGITS not in code and dictionary.UPPER not in code
     row = dictionary.encoded(df.select("stream_id", df.text.cast("binary").alias("data")), words, lines=True).first()
     assert row["restored"] and row["encoded_bytes"] < row["raw_bytes"]
+
+
+def test_filters_by_type(spark):
+    from blockloom.operators import codecs
+
+    text, twice = b"plain text, nothing more", b"head" + b"abcdefgh" * 500
+    series = b"".join((5 + 3 * k).to_bytes(8, "little") for k in range(400))
+    rows = [(1, "wav", series), (2, "txt", series), (3, None, series), (4, "tar", twice), (5, "wav", None), (6, "wav", b""), (7, "exe32", text)]
+    made = codecs.filtered(spark.createDataFrame(rows, "stream_id long, subtype string, data binary"))
+    got = {r["stream_id"]: (r["filter_name"], r["data"]) for r in made.collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "delta", 2: None, 3: None, 4: "lzp", 5: None, 6: None, 7: None}
+    assert len(got[1][1]) < len(series) and len(got[4][1]) < len(twice)
+    back = {r["stream_id"]: r["data"] for r in codecs.unfiltered(made).collect()}
+    assert {k: v if v is None else bytes(v) for k, v in back.items()} == {k: d for k, _, d in rows}
+
+
+def test_detail_of_references(spark):
+    from blockloom.operators import dedupe
+
+    rows = [(1, 0, 0, 8, "literal"), (1, 1, 8, 8, "literal"), (1, 2, 16, 8, "exact"), (1, 3, 24, 3, "literal"), (2, 0, 0, 8, "exact")]
+    refs = spark.createDataFrame(rows, "stream_id long, block_no long, offset long, length long, kind string")
+    assert tuple(dedupe.detail(refs, 8).first()) == (4, 3, 1)
+    assert tuple(dedupe.detail(refs.limit(0), 8).first()) == (0, 0, 0)
