@@ -23,26 +23,27 @@ MAX_BLOCK = 128 << 10
 MAX_BLOCK_GLOBAL = 64 << 10
 
 
-def fixed_blocks(streams: DataFrame, size: int, keep_data: bool = False, digest: str = "SHA256") -> DataFrame:
+def fixed_blocks(streams: DataFrame, size: int, keep_data: bool = False, digest: str = "SHA256", carried: tuple[str, ...] = ()) -> DataFrame:
     """stream_id, block_no, offset, length, cksum (and data) of blocks of one size; the last is shorter.
 
-    digest: one of digests.EXPRESSIONS; a fast one is no proof that blocks are equal.
+    digest: one of digests.EXPRESSIONS; a fast one is no proof that blocks are equal. carried: columns of the stream that
+    each of its blocks gets too.
     """
     rows = streams.where(F.octet_length("data") > 0)
     rows = rows.withColumn("block_no", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"CAST((octet_length(data) - 1) div {size} AS BIGINT)"))))
     rows = rows.withColumn("block", F.substring(F.col("data"), (F.col("block_no") * size + 1).cast("int"), F.lit(size)))
-    return described(rows.withColumn("offset", F.col("block_no") * size), keep_data, digest)
+    return described(rows.withColumn("offset", F.col("block_no") * size), keep_data, digest, carried)
 
 
-def described(rows: DataFrame, keep_data: bool, digest: str = "SHA256") -> DataFrame:
+def described(rows: DataFrame, keep_data: bool, digest: str = "SHA256", carried: tuple[str, ...] = ()) -> DataFrame:
     columns = ["stream_id", "block_no", "offset", F.octet_length("block").cast("long").alias("length"), digests.digest(F.col("block"), digest).alias("cksum")]
-    return rows.select(*columns, *([F.col("block").alias("data")] if keep_data else []))
+    return rows.select(*columns, *([F.col("block").alias("data")] if keep_data else []), *carried)
 
 
-def chunks(streams: DataFrame, size: int) -> DataFrame:
-    """Chunks of one size, the unit of parallel work: stream_id, chunk_no, file_offset, data."""
-    out = fixed_blocks(streams, size, keep_data=True)
-    return out.select("stream_id", F.col("block_no").alias("chunk_no"), F.col("offset").alias("file_offset"), "data")
+def chunks(streams: DataFrame, size: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of one size, the unit of parallel work: stream_id, chunk_no, file_offset, data, and what is carried along."""
+    out = fixed_blocks(streams, size, keep_data=True, carried=carried)
+    return out.select("stream_id", F.col("block_no").alias("chunk_no"), F.col("offset").alias("file_offset"), "data", *carried)
 
 
 def leaving_table() -> np.ndarray:

@@ -36,14 +36,25 @@ def _deflate(d: bytes, level: int) -> bytes:
     return c.compress(d) + c.flush()
 
 
+#: The bytes of history that the presets of lzma keep.
+HISTORY = (1 << 18, 1 << 20, 1 << 21, 1 << 22, 1 << 22, 1 << 23, 1 << 23, 1 << 24, 1 << 25, 1 << 26)
+
+
+def _lzma(d: bytes, level: int) -> bytes:
+    """d by a preset, with no more history than d fills: an encoder clears tables of its history's size for each chunk."""
+    level = min(level, 9)
+    history = min(HISTORY[level], max(4096, 1 << max(0, len(d) - 1).bit_length()))
+    return lzma.compress(d, filters=[{"id": lzma.FILTER_LZMA2, "preset": level, "dict_size": history}])
+
+
 CODECS = {
     "none": Codec("none", lambda d, level: d, lambda d, n: d),
     "lz4": _lz4(),
     "lzfx": _lz4(),
     "zlib": Codec("zlib", _deflate, lambda d, n: zlib.decompress(d, -15)),
     "bzip2": Codec("bzip2", lambda d, level: bz2.compress(d, max(1, min(level, 9))), lambda d, n: bz2.decompress(d)),
-    "lzma": Codec("lzma", lambda d, level: lzma.compress(d, preset=min(level, 9)), lambda d, n: lzma.decompress(d)),
-    "lzmaMt": Codec("lzma", lambda d, level: lzma.compress(d, preset=min(level, 9)), lambda d, n: lzma.decompress(d)),
+    "lzma": Codec("lzma", _lzma, lambda d, n: lzma.decompress(d)),
+    "lzmaMt": Codec("lzma", _lzma, lambda d, n: lzma.decompress(d)),
 }
 #: Bit formats without a Python library are replaced, and the output says so: context mixing and block sorting.
 CODECS |= {"ppmd": Codec("lzma", CODECS["lzma"].encode, CODECS["lzma"].decode), "libbsc": Codec("bzip2", CODECS["bzip2"].encode, CODECS["bzip2"].decode)}

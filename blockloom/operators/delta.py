@@ -58,8 +58,10 @@ def series(data: bytes, stride: int, least: int) -> list[tuple[int, int]]:
     mask = np.uint64((1 << (8 * stride)) - 1)
     d = (v[1:] - v[:-1]) & mask
     edges = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1], [True]]))
+    a, b = edges[:-1], edges[1:]
+    long = (b + 1 - a) * stride > least
     out, free = [], 0
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+    for a, b in zip(a[long].tolist(), b[long].tolist(), strict=True):
         a = max(a, free)  # words a..b form one series
         if (b + 1 - a) * stride > least:
             out.append((a, b + 1))

@@ -54,11 +54,10 @@ def encoded_by(config: Config, members: DataFrame) -> DataFrame:
     Chunks are cut by its size (the default's if it has none); adapt and adapt2 choose each member's codec; compressed
     members that a codec refuses at this level stay raw; series must exceed the codec's span.
     """
-    chunks = chunking.chunks(members, config.chunk_size or Config.from_level(config.codec, config.level).chunk_size)
-    kinds = members.select("stream_id", "primary", "subtype")
+    size = config.chunk_size or Config.from_level(config.codec, config.level).chunk_size
     chosen = content.adaptive_codec(config.codec, F.col("primary"), F.col("subtype")) if config.codec.startswith("adapt") else F.lit(config.codec)
     skips = content.codec_skips(config.codec, F.lit(config.level), F.col("primary"), F.col("subtype"))
-    rows = chunks.join(kinds, "stream_id").withColumn("codec", F.when(skips, "none").otherwise(chosen))
+    rows = chunking.chunks(members, size, ("primary", "subtype")).withColumn("codec", F.when(skips, "none").otherwise(chosen))
     filters = tuple(f for f, on in (("x86", config.exe), ("lzp", config.lzp), ("delta", config.delta)) if on)
     spans = {k: max(config.series_span, v) if config.codec.startswith("adapt") else config.series_span for k, v in SERIES_SPAN.items()}
     return codecs.encoded(rows, F.col("codec"), config.level, filters, config.digest, spans, config.strides)

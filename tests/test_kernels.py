@@ -161,3 +161,14 @@ def test_files_source(spark, tmp_path):
     (tmp_path / "d" / "x.txt").write_bytes(b"hello")
     assert streams.files(spark, str(tmp_path)).first()["data"] == b"hello"
     assert streams.files(spark, str(tmp_path), content=False).first()["size"] == 5
+
+
+@pytest.mark.parametrize("name", ["lzma", "lzmaMt", "ppmd"])
+def test_an_encoder_takes_no_more_memory_than_a_chunk_needs(name):
+    import lzma
+
+    data = bytes(range(256)) * 16
+    made = codecs.CODECS[name].encode(data, 9)
+    assert codecs.CODECS[name].decode(made, len(data)) == data == lzma.decompress(made, memlimit=1 << 20)  # the history alone took 64 MB
+    for n in (0, 1, 4096, 4097, 1 << 17):
+        assert codecs.CODECS[name].decode(codecs.CODECS[name].encode(bytes(n), 9), n) == bytes(n)
