@@ -77,30 +77,54 @@ def mac(data: bytes, key: bytes, digest: str = "SHA256") -> bytes:
 LZP_LEAST = 128
 
 
+def windows(x: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every `size` bytes of x that stand together, made from those of half as many and of single bytes."""
+    grown, width, power = x.astype(np.uint64), 1, np.uint64(0x9E3779B97F4A7C15)
+    for bit in bin(size)[3:]:
+        grown = grown[:-width] * power + grown[width:]
+        width, power = 2 * width, power * power
+        if bit == "1":
+            grown = grown[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[width:].astype(np.uint64)
+            width, power = width + 1, power * np.uint64(0x9E3779B97F4A7C15)
+    return grown * np.uint64(0xD6E8FEB86659FD93)
+
+
 def lzp_encode(data: bytes, least: int = LZP_LEAST) -> bytes | None:
     """Repeats of at least `least` bytes as (literals, place, length), the first four bytes ahead; None if no gain.
 
-    The place predicted is where the four bytes before, and the eight that follow, stood last.
+    The place predicted is where the `least` bytes that follow stood last, so no shorter repeat hides a longer one.
     """
     if len(data) < least + 16:
         return None
     x = np.frombuffer(data, np.uint8)
-    key = np.zeros(len(x) - 11, np.uint64)
-    for k in range(12):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + x[k : k + len(key)]
-    order = np.argsort(key, kind="stable")
-    again = np.flatnonzero(key[order][1:] == key[order][:-1])
-    before = dict(zip((order[again + 1] + 4).tolist(), (order[again] + 4).tolist(), strict=True))
-    out, literal = [data[:4]], 4
-    for i in sorted(before):
-        j = before[i]
-        if i < literal or data[j : j + least] != data[i : i + least] or len(data) - i < least:
+    with np.errstate(over="ignore"):
+        key = windows(x, least)
+    # sorted with the place in the low bits, which orders equal windows by place
+    low = np.uint64((1 << len(key).bit_length()) - 1)
+    key = np.sort(key & ~low | np.arange(len(key), dtype=np.uint64))
+    again = np.flatnonzero((key[1:] ^ key[:-1]) <= low)
+    if not len(again):
+        return None
+    at, was = (key[again + 1] & low).astype(np.int64), (key[again] & low).astype(np.int64)
+    order = np.argsort(at)
+    at, was = at[order], was[order]
+    out, literal, k = [data[:4]], 4, int(np.searchsorted(at, 4))
+    while k < len(at):
+        i, j = int(at[k]), int(was[k])
+        if data[j : j + least] != data[i : i + least]:
+            k += 1
             continue
-        n = min(len(data) - i, len(data) - j)
-        differ = np.flatnonzero(x[i : i + n] != x[j : j + n])
-        n = int(differ[0]) if len(differ) else n
+        n, step = least, 4096
+        while i + n < len(data):  # as long as it goes on, step by step
+            differ = np.flatnonzero(x[i + n : i + n + step] != x[j + n : j + n + min(step, len(x) - i - n)])
+            if len(differ):
+                n += int(differ[0])
+                break
+            n = min(n + step, len(data) - i)
+            step *= 2
         out += [(i - literal).to_bytes(4, "little"), data[literal:i], j.to_bytes(4, "little"), n.to_bytes(4, "little")]
         literal = i + n
+        k = int(np.searchsorted(at, literal))
     out += [(len(data) - literal).to_bytes(4, "little"), data[literal:]]
     joined = b"".join(out)
     return joined if len(joined) < len(data) else None

@@ -69,26 +69,37 @@ def series(data: bytes, stride: int, least: int) -> list[tuple[int, int]]:
     return out
 
 
+def size_with(found: list[tuple[int, int]], n: int, stride: int) -> int:
+    """Bytes that n bytes take when their series stand as such."""
+    return n - sum((b - a) * stride for a, b in found) + len(found) * (SERIES.size + HEADER.size) + HEADER.size
+
+
 def encoded_size(data: bytes, stride: int, least: int) -> int:
-    found = series(data, stride, least)
-    return len(data) - sum((b - a) * stride for a, b in found) + len(found) * (SERIES.size + HEADER.size) + HEADER.size
+    return size_with(series(data, stride, least), len(data), stride)
 
 
 def series_encode(data: bytes, strides: tuple[int, ...] = (2, 4, 8), least: int = 50) -> bytes | None:
-    """data with its series as (length, start, step), block by block at the best stride; None if that is not shorter."""
-    out = []
+    """data with its series as (length, start, step), block by block at the best stride; None if that is not shorter.
+
+    What stands between series is one piece, however many blocks it fills.
+    """
+    out, last = [], 0
     for at in range(0, len(data), SERIES_BLOCK):
         part = data[at : at + SERIES_BLOCK]
-        stride = min(strides, key=lambda s: encoded_size(part, s, least))
-        v, last = words(part, stride), 0
-        mask = (1 << (8 * stride)) - 1
-        for a, b in series(part, stride, least):
-            if a * stride > last:
-                out += [HEADER.pack(0, a * stride - last), part[last : a * stride]]
+        tried = {s: series(part, s, least) for s in strides}
+        if not any(tried.values()):
+            continue
+        stride = min(strides, key=lambda s: size_with(tried[s], len(part), s))
+        v, mask = words(part, stride), (1 << (8 * stride)) - 1
+        for a, b in tried[stride]:
+            if at + a * stride > last:
+                out += [HEADER.pack(0, at + a * stride - last), data[last : at + a * stride]]
             out.append(SERIES.pack(stride, b - a, int(v[a]), int(v[a + 1]) - int(v[a]) & mask))
-            last = b * stride
-        if last < len(part):
-            out += [HEADER.pack(0, len(part) - last), part[last:]]
+            last = at + b * stride
+    if not out:
+        return None
+    if last < len(data):
+        out += [HEADER.pack(0, len(data) - last), data[last:]]
     joined = b"".join(out)
     return joined if len(joined) < len(data) else None
 

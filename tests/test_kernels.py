@@ -172,3 +172,35 @@ def test_an_encoder_takes_no_more_memory_than_a_chunk_needs(name):
     assert codecs.CODECS[name].decode(made, len(data)) == data == lzma.decompress(made, memlimit=1 << 20)  # the history alone took 64 MB
     for n in (0, 1, 4096, 4097, 1 << 17):
         assert codecs.CODECS[name].decode(codecs.CODECS[name].encode(bytes(n), 9), n) == bytes(n)
+
+
+def test_filters_apply_to_what_stands_twice_before_a_series():
+    from blockloom.plans import runs
+
+    rng = np.random.default_rng(4)
+    half = rng.bytes(100)
+    inner = half + half  # a shorter repeat is nearer than the longer one, which hid it
+    line = b"Et tre\xc3\xaaaux treleai pouren\xc3\xaaaire aire de au leaneau."
+    far = b"".join(line[k : k + 14] + bytes([k, 200 - k]) for k in range(13))
+    for data in (inner, far, (line + line[:40]) * 3, rng.bytes(200), rng.bytes(3_000_000)):
+        whole = runs.repeated(data)
+        for name in ("lzp", "delta"):
+            made = codecs.FILTERS[name][0](whole)
+            assert made is not None and len(made) < len(whole) and codecs.FILTERS[name][1](made) == whole
+
+
+def test_repeats_are_found_past_nearer_shorter_ones():
+    rng = np.random.default_rng(5)
+    words = [rng.bytes(6) for _ in range(3)]
+    unit = b"".join(words[k] for k in rng.integers(0, 3, 22))  # every twelve bytes stand in many places
+    made = codecs.lzp_encode(unit + unit)
+    assert made is not None and codecs.lzp_decode(made) == unit + unit
+
+
+@settings(max_examples=60, deadline=None)
+@given(some, st.integers(16, 200))
+def test_repeats_of_any_least_length(x, least):
+    made = codecs.lzp_encode(x + x, least)
+    assert made is None or codecs.lzp_decode(made) == x + x
+    if len(x) >= least + 16:
+        assert made is not None
