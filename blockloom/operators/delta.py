@@ -154,10 +154,18 @@ def transpose(data: bytes, stride: int, back: bool = False) -> bytes:
     return x.T.tobytes() + data[n:]
 
 
+def common(a: np.ndarray, j: int, b: np.ndarray, i: int) -> int:
+    """How many bytes from a[j] and b[i] on are the same."""
+    n = min(len(a) - j, len(b) - i)
+    other = a[j : j + n] != b[i : i + n]
+    return int(other.argmax()) if other.any() else n
+
+
 def diff(old: bytes, new: bytes, word: int = 8, least: int = 16) -> bytes:
     """A patch that makes new from old: copies of old where words of it recur, and the bytes between.
 
-    Words of old at multiples of `word` are looked up at every position of new in numpy, then matches grow both ways.
+    Words of old at multiples of `word` are looked up at every position of new in numpy, then matches grow both ways. A
+    word that stands often is taken at the same position too, and the longer match counts.
     """
     out, at = [], 0
     a, b = np.frombuffer(old, np.uint8), np.frombuffer(new, np.uint8)
@@ -174,12 +182,12 @@ def diff(old: bytes, new: bytes, word: int = 8, least: int = 16) -> bytes:
             if i < at:
                 continue
             j = int(source[i])
+            n = common(a, j, b, i)
+            if j != i < len(a) and (there := common(a, i, b, i)) > n:
+                j, n = i, there
             back = 0
             while back < i - at and back < j and a[j - back - 1] == b[i - back - 1]:
                 back += 1
-            n = min(len(a) - j, len(b) - i)
-            same = np.flatnonzero(a[j : j + n] != b[i : i + n])
-            n = int(same[0]) if len(same) else n
             if n + back >= least:
                 out += [HEADER.pack(0, i - back - at), new[at : i - back], HEADER.pack(1, n + back), struct.pack("<I", j - back)]
                 at = i + n

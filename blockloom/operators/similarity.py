@@ -50,13 +50,19 @@ def extent(average: int, extra: bool) -> int:
 def sketch(block: bytes, eighths: int, least: int) -> int:
     """A hash of the smallest 64-bit words of a block; a block of `least` bytes or fewer is hashed whole.
 
-    These are the true smallest values in order, which is stricter than a heap that loses some of them.
+    These are the true smallest values in order, which is stricter than a heap that loses some of them. The hash has 64
+    bits, as a signed number: with 32, a few of some hundred thousand blocks share one with a block that is not similar.
     """
     if len(block) <= least or len(block) < 8:
-        return xxhash.xxh32_intdigest(block)
+        return signed(block)
     words = np.frombuffer(block, "<i8", len(block) // 8)
     k = max(1, len(words) * eighths // 8)
-    return xxhash.xxh32_intdigest(np.sort(np.partition(words, k - 1)[:k] if k < len(words) else words).tobytes())
+    return signed(np.sort(np.partition(words, k - 1)[:k] if k < len(words) else words).tobytes())
+
+
+def signed(data: bytes) -> int:
+    """The XXH64 of data as a signed number."""
+    return (xxhash.xxh64_intdigest(data) ^ 1 << 63) - (1 << 63)
 
 
 def with_sketch(blocks: DataFrame, average: int, extra: bool = False, least: int | None = None) -> DataFrame:

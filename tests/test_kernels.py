@@ -204,3 +204,22 @@ def test_repeats_of_any_least_length(x, least):
     assert made is None or codecs.lzp_decode(made) == x + x
     if len(x) >= least + 16:
         assert made is not None
+
+
+def test_sketches_of_many_blocks_stay_apart():
+    from blockloom.operators import similarity
+
+    keys = np.random.default_rng(6).integers(0, 1 << 63, 300_000).tolist()
+    assert len({similarity.sketch(k.to_bytes(8, "little"), 7, 0) for k in keys}) == len(keys)
+    assert {type(s) for s in map(similarity.signed, (b"", b"a", b"b"))} == {int} and all(-(1 << 63) <= similarity.signed(bytes([k])) < 1 << 63 for k in range(256))
+
+
+def test_patch_of_a_block_with_few_words():
+    from blockloom.plans import runs
+
+    rng = np.random.default_rng(7)
+    words = [rng.bytes(8) for _ in range(3)]
+    old = b"".join(words[k] for k in rng.integers(0, 3, 256))
+    new = runs.raised(rng.bytes(8) + old[8:])
+    made = delta.diff(old, new)
+    assert delta.patch(old, made) == new and len(made) < 100

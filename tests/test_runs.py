@@ -271,3 +271,15 @@ def test_detail_of_references(spark):
     refs = spark.createDataFrame(rows, "stream_id long, block_no long, offset long, length long, kind string")
     assert tuple(dedupe.detail(refs, 8).first()) == (4, 3, 1)
     assert tuple(dedupe.detail(refs.limit(0), 8).first()) == (0, 0, 0)
+
+
+def test_variants_are_saved_whatever_other_blocks_there_are(spark):
+    blocks = [hashlib.shake_128(k.to_bytes(4, "little")).digest(2048) for k in (4378, 8508)]  # their sketches of 32 bits were the same
+    rows = [(2 * k, b) for k, b in enumerate(blocks)] + [(2 * k + 1, runs.raised(b)) for k, b in enumerate(blocks)]
+    df = spark.createDataFrame(rows, "stream_id long, data binary")
+    cut = chunking.fixed_blocks(df, 2048, keep_data=True)
+    pairs = similarity.similar_blocks(similarity.with_sketch(cut, 2048, least=64))
+    store = rebuild.stored_similar(dedupe.references(cut.drop("data")), cut, pairs)
+    kinds = {r["stream_id"]: (r["kind"], r["ref_stream"]) for r in store.collect()}
+    assert kinds == {0: ("literal", 0), 1: ("similar", 0), 2: ("literal", 2), 3: ("similar", 2)}
+    assert all(r["equal"] for r in rebuild.verified(df, rebuild.rebuilt(store)).collect())
