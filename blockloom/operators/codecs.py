@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from blockloom.operators import delta, digests
+from blockloom.shared import BATCH_BYTES, mapped
 
 
 @dataclass(frozen=True)
@@ -179,12 +181,21 @@ def encode_chunk(data: bytes, codec: str, level: int = 6, filters: tuple[str, ..
 
     span: the bytes that an arithmetic series must exceed to be worth its header.
     """
+    return squeezed(data, *through_filters(data, filters, span, strides), codec, level)
+
+
+def through_filters(data: bytes, filters: tuple[str, ...], span: int, strides: tuple[int, ...]) -> tuple[bytes, list[str]]:
+    """data after those of the filters that apply, and their names."""
     body, applied = data, []
     for name in (f for f in FILTERS if f in filters):
         made = delta.series_encode(body, strides, span) if name == "delta" else FILTERS[name][0](body)
         if made is not None:
             body = made
             applied.append(name)
+    return body, applied
+
+
+def squeezed(data: bytes, body: bytes, applied: list[str], codec: str, level: int) -> tuple[bytes, str, list[str]]:
     out = CODECS[codec].encode(body, level)
     if len(out) >= len(data):
         return data, "raw", []
@@ -206,29 +217,56 @@ ENCODED = "chunk_no long, codec_requested string, codec_used string, filters arr
 def encoded(chunks: DataFrame, codec: Column, level: int = 6, filters: tuple[str, ...] = (), digest: str = "SHA256", spans: dict[str, int] | None = None, strides: tuple[int, ...] = (2, 4, 8)) -> DataFrame:
     """chunks (stream_id, chunk_no, data) as encoded chunks with the digest of the original and a CRC of the result.
 
-    spans: for each codec the bytes that an arithmetic series must exceed.
+    spans: for each codec the bytes that an arithmetic series must exceed. codec may be an array of names: a chunk then
+    gives a row for each, its filters run once, and codecs with the same substitute share what it made.
     """
     kind = chunks.schema["stream_id"].dataType.simpleString()
+    several = isinstance(chunks.select(codec).schema[0].dataType, ArrayType)
+
+    def made_of(data: bytes, names: list[str]) -> Iterator[tuple]:
+        bodies, outs, want = {}, {}, DIGESTS[digest][1](data).hex()
+        for c in names:
+            span, used = (spans or {}).get(c, 50), CODECS[c].used
+            if span not in bodies:
+                bodies[span] = through_filters(data, filters, span, strides)
+            if (span, used) not in outs:
+                out = squeezed(data, *bodies[span], c, level)
+                outs[span, used] = *out, zlib.crc32(out[0])
+            out, used, applied, crc = outs[span, used]
+            yield c, used, applied, len(data), out, want, crc, 10
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for d, c in zip(batch.column(2), batch.column(3), strict=True):
-                d, c = d.as_py(), c.as_py()
-                out, used, applied = encode_chunk(d, c, level, filters, (spans or {}).get(c, 50), strides)
-                rows.append((c, used, applied, len(d), out, DIGESTS[digest][1](d).hex(), zlib.crc32(out), 10))
-            kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int32())
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["stream_id", "chunk_no", "codec_requested", "codec_used", "filters", "raw_length", "data", "digest", "crc", "version"])
-
-    return chunks.select("stream_id", "chunk_no", "data", codec.alias("codec")).mapInArrow(run, f"stream_id {kind}, {ENCODED}")
+            at, rows, held = [], [], 0
+            for k, (d, c) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                names = c.as_py() if several else [c.as_py()]
+                made = list(made_of(d.as_py(), names))
+                at += [k] * len(made)
+                rows += made
+                held += sum(len(r[4]) for r in made)
+                if held > BATCH_BYTES:
+                    yield written(batch, at, rows)
+                    at, rows, held = [], [], 0
+            if rows:
+                yield written(batch, at, rows)
+
+    def written(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int32())
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), *columns], names=["stream_id", "chunk_no", "codec_requested", "codec_used", "filters", "raw_length", "data", "digest", "crc", "version"])
+
+    return mapped(chunks.select("stream_id", "chunk_no", "data", codec.alias("codec")), run, f"stream_id {kind}, {ENCODED}")
 
 
 def decoded(encoded_chunks: DataFrame, digest: str = "SHA256") -> DataFrame:
-    """stream_id, chunk_no, data and error: what a CRC, the decoder or the digest found wrong, data then being null."""
+    """stream_id, chunk_no, data and error: what a CRC, the decoder or the digest found wrong, data then being null.
+
+    A row with the same bytes, codec and filters as the last one of these is not decoded anew.
+    """
     kind = encoded_chunks.schema["stream_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[tuple, tuple[bytes, bytes, str]] = {}
         for batch in batches:
             out, errors = [], []
             for used, applied, data, want, crc in zip(*batch.columns[2:], strict=True):
@@ -237,17 +275,24 @@ def decoded(encoded_chunks: DataFrame, digest: str = "SHA256") -> DataFrame:
                 if zlib.crc32(raw) != crc.as_py():
                     error = "crc"
                 else:
-                    try:
-                        body = decode_chunk(raw, used.as_py(), applied.as_py())
-                    except Exception as e:  # any damage a decoder can meet
-                        error = f"decode: {type(e).__name__}"
-                    if body is not None and DIGESTS[digest][1](body).hex() != want.as_py():
+                    how = used.as_py(), *applied.as_py()
+                    if how in last and last[how][0] == raw:
+                        _, body, have = last[how]
+                    else:
+                        try:
+                            body = decode_chunk(raw, how[0], list(how[1:]))
+                        except Exception as e:  # any damage a decoder can meet
+                            error = f"decode: {type(e).__name__}"
+                        if body is not None:
+                            have = DIGESTS[digest][1](body).hex()
+                            last[how] = raw, body, have
+                    if body is not None and have != want.as_py():
                         body, error = None, "digest"
                 out.append(body)
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(errors, pa.string())], names=["stream_id", "chunk_no", "data", "error"])
 
-    return encoded_chunks.select("stream_id", "chunk_no", "codec_used", "filters", "data", "digest", "crc").mapInArrow(run, f"stream_id {kind}, chunk_no long, data binary, error string")
+    return encoded_chunks.select("stream_id", "chunk_no", "codec_used", "filters", "data", "digest", "crc").transform(mapped, run, f"stream_id {kind}, chunk_no long, data binary, error string")
 
 
 def usage(encoded_chunks: DataFrame) -> DataFrame:

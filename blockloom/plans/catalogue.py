@@ -546,8 +546,7 @@ def digest_manifest(spark, sf_dir):
 
 def all_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunking.chunks(streams.documents(spark, sf_dir), 1 << 20)
-    names = F.explode(F.array(*map(F.lit, codecs.CODECS)))
-    return codecs.encoded(rows.withColumn("c", names), F.col("c"), 3, ("x86", "lzp", "delta"))
+    return codecs.encoded(rows, F.array(*map(F.lit, codecs.CODECS)), 3, ("x86", "lzp", "delta"))
 
 
 @query()

@@ -1,11 +1,38 @@
-"""The folder that all executors share, and tables kept in it."""
+"""The folder that all executors share, tables kept in it, and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df through run, in Arrow batches of about BATCH_BYTES or of one row, whatever their number of rows.
+
+    The bound is the session's setting, which Spark reads when the query runs; a session that has set its own keeps it. A
+    Python worker, which Spark keeps for later tasks, gives freed memory back after each.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return df.mapInArrow(tidied, schema)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; only where it is unset, and the executors are local, a temporary folder."""

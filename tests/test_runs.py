@@ -283,3 +283,17 @@ def test_variants_are_saved_whatever_other_blocks_there_are(spark):
     kinds = {r["stream_id"]: (r["kind"], r["ref_stream"]) for r in store.collect()}
     assert kinds == {0: ("literal", 0), 1: ("similar", 0), 2: ("literal", 2), 3: ("similar", 2)}
     assert all(r["equal"] for r in rebuild.verified(df, rebuild.rebuilt(store)).collect())
+
+
+def test_codecs_of_one_chunk_share_what_is_the_same(spark, monkeypatch):
+    rows = [(1, 0, b"abc" * 500), (1, 1, b"x"), (2, 0, bytes(range(256)) * 9), (3, 0, b"")]
+    df = spark.createDataFrame(rows, "stream_id long, chunk_no long, data binary")
+    names = list(codecs.CODECS)
+    one = codecs.encoded(df.withColumn("c", F.explode(F.array(*map(F.lit, names)))), F.col("c"), 3, ("lzp", "delta"), spans={"bzip2": 200})
+    many = codecs.encoded(df, F.array(*map(F.lit, names)), 3, ("lzp", "delta"), spans={"bzip2": 200})
+    assert one.schema == many.schema and sorted(map(str, one.collect())) == sorted(map(str, many.collect())) and many.count() == len(rows) * len(names)
+    back = codecs.decoded(many).collect()
+    want = {(s, c): d for s, c, d in rows}
+    assert all(r["error"] is None and bytes(r["data"]) == want[r["stream_id"], r["chunk_no"]] for r in back) and len(back) == len(rows) * len(names)
+    wrong = codecs.decoded(many.withColumn("digest", F.when(F.col("codec_requested") == "ppmd", "0").otherwise(F.col("digest"))))
+    assert {(r["error"], r["n"]) for r in wrong.groupBy("error").agg(F.count("*").alias("n")).collect()} == {("digest", len(rows)), (None, len(rows) * (len(names) - 1))}
