@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from blockloom.shared import kept
+from blockloom.shared import kept, mapped
 
 ENTRY_BYTES = 1024
 KEY = 4
@@ -122,7 +122,7 @@ def type_cuts(members: DataFrame, part: str, order: str, kind: str, least: int)
             yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, group, strict=True))], arrow)
 
     rows = members.select(part, order, kind, F.col("size").cast("long").alias("size"))
-    return rows.repartition(part).sortWithinPartitions(part, order, kind).mapInArrow(fold, schema)
+    return rows.repartition(part).sortWithinPartitions(part, order, kind).transform(mapped, fold, schema)
 
 
 def archive_count(members: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> int:
@@ -202,7 +202,7 @@ def archive_members(archives: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
 
-    return archives.select("data").mapInArrow(unpack, "path string, size long, data binary")
+    return archives.select("data").transform(mapped, unpack, "path string, size long, data binary")
 
 
 tar_members = archive_members

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.operators import digests
+from blockloom.shared import mapped
 
 # Fixed values of the cut test.
 MULTIPLIER = 153191
@@ -111,7 +112,7 @@ def content_blocks(streams: DataFrame, block_bits: int = 2, whole: bool = False,
                 blocks = [x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(ends), batch.schema.field(0).type), pa.array(range(len(ends)), pa.int64()), pa.array(starts, pa.int64()), pa.array(blocks, pa.binary())], names=["stream_id", "block_no", "offset", "block"])
 
-    rows = streams.select("stream_id", "data").mapInArrow(run, f"stream_id {kind}, block_no long, offset long, block binary")
+    rows = streams.select("stream_id", "data").transform(mapped, run, f"stream_id {kind}, block_no long, offset long, block binary")
     return described(rows, keep_data)
 
 
@@ -124,7 +125,7 @@ def candidate_sums(streams: DataFrame) -> DataFrame:
             found = [cut_candidates(np.frombuffer(d.as_buffer(), np.uint8)) if d.is_valid and len(d.as_buffer()) else np.zeros(0, np.int64) for d in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([int(f.sum()) for f in found], pa.int64())], names=["stream_id", "n_cuts", "pos_sum"])
 
-    return streams.select("stream_id", "data").mapInArrow(run, f"stream_id {kind}, n_cuts long, pos_sum long")
+    return streams.select("stream_id", "data").transform(mapped, run, f"stream_id {kind}, n_cuts long, pos_sum long")
 
 
 def last_cuts(streams: DataFrame, window: int = MAX_BLOCK) -> DataFrame:
@@ -145,7 +146,7 @@ def last_cuts(streams: DataFrame, window: int = MAX_BLOCK) -> DataFrame:
                 out.append(int(found[-1]) if len(found) else -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["stream_id", "last_cut"])
 
-    return streams.select("stream_id", "data").mapInArrow(run, f"stream_id {kind}, last_cut long")
+    return streams.select("stream_id", "data").transform(mapped, run, f"stream_id {kind}, last_cut long")
 
 
 def slice_cuts(slices: DataFrame, block_bits: int = 2, whole: bool = True) -> DataFrame:
@@ -171,5 +172,5 @@ def slice_cuts(slices: DataFrame, block_bits: int = 2, whole: bool = True) -> Da
         starts = [0, *ends[:-1]]
         return pa.table({"stream_id": pa.array([table["stream_id"][0].as_py()] * len(ends), table.schema.field("stream_id").type), "block_no": pa.array(range(len(ends)), pa.int64()), "offset": pa.array(starts[: len(ends)], pa.int64()), "length": pa.array([b - a for a, b in zip(starts, ends, strict=False)], pa.int64())})
 
-    rows = slices.select("stream_id", "offset", "size", "before", "data").mapInArrow(found, f"stream_id {kind}, size long, at long")
+    rows = slices.select("stream_id", "offset", "size", "before", "data").transform(mapped, found, f"stream_id {kind}, size long, at long")
     return rows.groupBy("stream_id").applyInArrow(chosen, f"stream_id {kind}, block_no long, offset long, length long")

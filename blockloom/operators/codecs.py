@@ -311,7 +311,7 @@ def byte_histogram(streams: DataFrame) -> DataFrame:
                     n += np.bincount(np.frombuffer(d.as_buffer(), np.uint8), minlength=256)
             yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(n)], names=["byte", "n"])
 
-    return streams.select("data").mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).where("n > 0")
+    return streams.select("data").transform(mapped, run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def filter_checks(streams: DataFrame) -> DataFrame:
@@ -327,7 +327,7 @@ def filter_checks(streams: DataFrame) -> DataFrame:
                 same = [m is None or decode(m) == d for m, d in zip(made, data, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(data)), pa.array([m is not None for m in made]), pa.array(same)], names=["stream_id", "filter", "applied", "restored"])
 
-    return streams.select("stream_id", "data").mapInArrow(run, f"stream_id {kind}, filter string, applied boolean, restored boolean")
+    return streams.select("stream_id", "data").transform(mapped, run, f"stream_id {kind}, filter string, applied boolean, restored boolean")
 
 
 #: The filters of a subtype of content, tried in this order.
@@ -353,7 +353,7 @@ def filtered(streams: DataFrame, by_subtype: dict[str, tuple[str, ...]] = BY_SUB
             out = [one(t.as_py(), d.as_py()) for t, d in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in out], pa.string()), pa.array([d for _, d in out], pa.binary())], names=["stream_id", "filter_name", "data"])
 
-    return streams.select("stream_id", "subtype", "data").mapInArrow(run, f"stream_id {kind}, filter_name string, data binary")
+    return streams.select("stream_id", "subtype", "data").transform(mapped, run, f"stream_id {kind}, filter_name string, data binary")
 
 
 def unfiltered(made: DataFrame) -> DataFrame:
@@ -366,7 +366,7 @@ def unfiltered(made: DataFrame) -> DataFrame:
             back = [FILTERS[n][1](d) if n else d for n, d in zip(names, data, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(back, pa.binary())], names=["stream_id", "data"])
 
-    return made.select("stream_id", "filter_name", "data").mapInArrow(run, f"stream_id {kind}, data binary")
+    return made.select("stream_id", "filter_name", "data").transform(mapped, run, f"stream_id {kind}, data binary")
 
 
 def keyed_macs(streams: DataFrame, key: bytes, digest: str = "SHA256") -> DataFrame:
@@ -379,4 +379,4 @@ def keyed_macs(streams: DataFrame, key: bytes, digest: str = "SHA256") -> DataFr
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([mac(d.as_py() or b"", key, digest).hex() for d in batch.column(1)])], names=["stream_id", "mac"])
 
-    return streams.select("stream_id", "data").mapInArrow(run, f"stream_id {kind}, mac string")
+    return streams.select("stream_id", "data").transform(mapped, run, f"stream_id {kind}, mac string")

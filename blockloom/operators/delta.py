@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockloom.shared import mapped
+
 SERIES_BLOCK = 4096
 HEADER = struct.Struct("<BI")
 SERIES = struct.Struct("<BIQQ")
@@ -221,7 +223,7 @@ def patches(pairs: DataFrame) -> DataFrame:
             fits = [patch(o, d) == n for (o, n), d in zip(made, deltas, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(n) for _, n in made], pa.int64()), pa.array([len(d) for d in deltas], pa.int64()), pa.array([len(d) < len(n) for d, (_, n) in zip(deltas, made, strict=True)]), pa.array(fits)], names=["stream_id", "block_no", "raw_bytes", "patch_bytes", "used", "fits"])
 
-    return pairs.select("stream_id", "block_no", "old", "new").mapInArrow(run, f"stream_id {kind}, block_no long, raw_bytes long, patch_bytes long, used boolean, fits boolean")
+    return pairs.select("stream_id", "block_no", "old", "new").transform(mapped, run, f"stream_id {kind}, block_no long, raw_bytes long, patch_bytes long, used boolean, fits boolean")
 
 
 def stride_costs(streams: DataFrame, strides: tuple[int, ...] = (2, 3, 4, 5, 6, 7, 8), least: int = 50) -> DataFrame:
@@ -235,4 +237,4 @@ def stride_costs(streams: DataFrame, strides: tuple[int, ...] = (2, 3, 4, 5, 6,
                 cost = [sum(encoded_size(d[a : a + SERIES_BLOCK], s, least) for a in range(0, len(d), SERIES_BLOCK)) for d in data]
                 yield pa.RecordBatch.from_arrays([keys, pa.array([s] * len(data), pa.int32()), pa.array(cost, pa.int64())], names=["stream_id", "stride", "cost"])
 
-    return streams.select("stream_id", "data").mapInArrow(run, f"stream_id {kind}, stride int, cost long")
+    return streams.select("stream_id", "data").transform(mapped, run, f"stream_id {kind}, stride int, cost long")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockloom.shared import kept
+from blockloom.shared import kept, mapped
 
 WORD_MIN, WORD_MAX = 3, 50
 LEAST_BYTES = 4500
@@ -133,4 +133,4 @@ def encoded(streams: DataFrame, words: list[str], lines: bool = False) -> DataFr
             code = [encode(d, index, lines) for d in data]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d) for d in data], pa.int64()), pa.array([min(len(c), len(d)) for c, d in zip(code, data, strict=True)], pa.int64()), pa.array([decode(c, raw) == d for c, d in zip(code, data, strict=True)])], names=["stream_id", "raw_bytes", "encoded_bytes", "restored"])
 
-    return streams.select("stream_id", "data").mapInArrow(run, f"stream_id {kind}, raw_bytes long, encoded_bytes long, restored boolean")
+    return streams.select("stream_id", "data").transform(mapped, run, f"stream_id {kind}, raw_bytes long, encoded_bytes long, restored boolean")

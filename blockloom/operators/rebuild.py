@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.operators import delta
+from blockloom.shared import mapped
 
 
 def stored(refs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def stored_similar(refs: DataFrame, blocks: DataFrame, pairs: DataFrame) -> Data
             less = pa.array([len(p) < len(n.as_buffer()) for p, n in zip(patches, batch.column(5), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(patches, pa.binary())], names=["stream_id", "block_no", "base_stream", "base_block", "patch"]).filter(less)
 
-    made = both.select("stream_id", "block_no", "base_stream", "base_block", "old", "data").mapInArrow(run, f"stream_id {kind}, block_no long, base_stream {kind}, base_block long, patch binary")
+    made = both.select("stream_id", "block_no", "base_stream", "base_block", "old", "data").transform(mapped, run, f"stream_id {kind}, block_no long, base_stream {kind}, base_block long, patch binary")
     store = stored(refs, blocks).join(made, ["stream_id", "block_no"], "left")
     is_similar = F.col("patch").isNotNull()
     return store.select(
@@ -56,7 +57,7 @@ def originals(store: DataFrame) -> DataFrame:
             bodies = [delta.patch(old.as_py(), p.as_py()) for old, p in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(bodies, pa.binary())], names=["ref_stream", "ref_block", "body"])
 
-    return literal.unionByName(similar.mapInArrow(run, f"ref_stream {kind}, ref_block long, body binary"))
+    return literal.unionByName(similar.transform(mapped, run, f"ref_stream {kind}, ref_block long, body binary"))
 
 
 def rebuilt(store: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def rebuilt(store: DataFrame) -> DataFrame:
             for key, body in zip(batch.column(0), batch.column(1), strict=True):  # each may be large
                 yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], key.type), pa.array([b"".join(body.as_py())], pa.binary())], names=["stream_id", "data"])
 
-    return parts.mapInArrow(run, f"stream_id {kind}, data binary")
+    return parts.transform(mapped, run, f"stream_id {kind}, data binary")
 
 
 def verified(streams: DataFrame, restored: DataFrame) -> DataFrame:

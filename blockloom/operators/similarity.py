@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.shared import mapped
+
 SKETCH = 20
 #: Eighths of a block's words that its sketch holds, by the average block size that it starts from; "extra" has 5.
 EXTENT = ((1 << 16, 4), (1 << 14, 5), (0, 7))
@@ -75,7 +77,7 @@ def with_sketch(blocks: DataFrame, average: int, extra: bool = False, least: int
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sketch(d.as_py(), eighths, least) for d in batch.column(at)], pa.int64())], names=[*batch.schema.names, "sketch"])
 
-    return blocks.mapInArrow(run, schema)
+    return blocks.transform(mapped, run, schema)
 
 
 def similar_blocks(sketched: DataFrame, min_distance: int = 0) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import content, sizes
 from blockloom.operators import archive, chunking, codecs, dedupe, delta, dictionary, rebuild, secrecy, similarity
-from blockloom.shared import kept, shared_dir
+from blockloom.shared import kept, mapped, shared_dir
 from blockloom.sources import streams
 from blockloom.streaming import dedupe as streaming
 
@@ -627,7 +627,7 @@ def x86_blocks(spark, sf_dir):
             on = pa.array([codecs.x86_block(d.as_py()) for d in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(d.as_py()) for d in batch.column(1)], pa.int64())], names=["doc_id", "n"]).filter(on)
 
-    return streams.documents(spark, sf_dir).mapInArrow(run, "doc_id long, n long")
+    return streams.documents(spark, sf_dir).transform(mapped, run, "doc_id long, n long")
 
 
 @query("SELECT doc_id, unnest(range(0, (strlen(text) + 1048575) // 1048576)) AS chunk_no, 'crc' AS error FROM documents WHERE doc_id % 10 = 0 AND strlen(text) > 0")

@@ -11,6 +11,7 @@ from blockloom.config import SERIES_SPAN, Config
 from blockloom.functions import content
 from blockloom.operators import chunking, codecs, dedupe, rebuild, similarity
 from blockloom.plans import catalogue as c
+from blockloom.shared import mapped
 from blockloom.sources import streams
 
 # content-defined blocks in SQL: the cut candidates of a stream, and the choice among them step by step
@@ -95,7 +96,7 @@ def kernel(streams_: DataFrame, step) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([step(d.as_py()) for d in batch.column(1)], pa.binary())], names=["stream_id", "data"])
 
-    return streams_.select("stream_id", "data").mapInArrow(run, f"stream_id {kind}, data binary")
+    return streams_.select("stream_id", "data").transform(mapped, run, f"stream_id {kind}, data binary")
 
 
 def raised(data: bytes) -> bytes:

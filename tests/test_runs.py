@@ -297,3 +297,34 @@ def test_codecs_of_one_chunk_share_what_is_the_same(spark, monkeypatch):
     assert all(r["error"] is None and bytes(r["data"]) == want[r["stream_id"], r["chunk_no"]] for r in back) and len(back) == len(rows) * len(names)
     wrong = codecs.decoded(many.withColumn("digest", F.when(F.col("codec_requested") == "ppmd", "0").otherwise(F.col("digest"))))
     assert {(r["error"], r["n"]) for r in wrong.groupBy("error").agg(F.count("*").alias("n")).collect()} == {("digest", len(rows)), (None, len(rows) * (len(names) - 1))}
+
+
+@pytest.fixture
+def no_bound(spark):
+    """The session without a bound on the bytes of Arrow batches, as a new one is."""
+    from blockloom.shared import BATCH_SETTING
+
+    was = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.unset(BATCH_SETTING)
+    yield lambda: spark.conf.get(BATCH_SETTING, None)
+    spark.conf.unset(BATCH_SETTING) if was is None else spark.conf.set(BATCH_SETTING, was)
+
+
+def test_batches_of_kernels_are_bounded_in_bytes(spark, no_bound):
+    import pyarrow as pa
+
+    from blockloom.shared import BATCH_BYTES, mapped
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([batch.nbytes], pa.int64())], names=["n", "size"])
+
+    rows = spark.range(0, 60, 1, 1).select(F.encode(F.repeat(F.lit("x"), 1 << 19), "UTF-8").alias("data"))
+    got = mapped(rows, sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 60 and max(r["size"] for r in got) < 2 * BATCH_BYTES
+
+
+def test_filters_and_codecs_bound_their_batches(spark, no_bound):
+    df = spark.createDataFrame([(1, "wav", b"x" * 100)], "stream_id long, subtype string, data binary")
+    assert no_bound() is None
+    assert codecs.unfiltered(codecs.filtered(df)).count() == 1 and no_bound() is not None
