@@ -328,3 +328,11 @@ def test_filters_and_codecs_bound_their_batches(spark, no_bound):
     df = spark.createDataFrame([(1, "wav", b"x" * 100)], "stream_id long, subtype string, data binary")
     assert no_bound() is None
     assert codecs.unfiltered(codecs.filtered(df)).count() == 1 and no_bound() is not None
+
+
+def test_sketches_bound_their_batches(spark, no_bound):
+    rows = spark.createDataFrame([(1, b"abcdefgh" * 300)], "stream_id long, data binary")
+    assert no_bound() is None
+    planted = runs.with_variants(rows)
+    assert no_bound() is not None
+    assert similarity.similar_blocks(similarity.with_sketch(chunking.fixed_blocks(planted, 2048, keep_data=True), 2048, least=64)).count() >= 1
