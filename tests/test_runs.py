@@ -336,3 +336,12 @@ def test_sketches_bound_their_batches(spark, no_bound):
     planted = runs.with_variants(rows)
     assert no_bound() is not None
     assert similarity.similar_blocks(similarity.with_sketch(chunking.fixed_blocks(planted, 2048, keep_data=True), 2048, least=64)).count() >= 1
+
+
+def test_damaged_chunks_are_found_in_bounded_batches(spark, no_bound):
+    chunks = spark.createDataFrame([(k, 0, bytes([k]) * 900) for k in range(4)], "stream_id long, chunk_no long, data binary")
+    assert no_bound() is None
+    made = codecs.encoded(chunks, F.lit("zlib"))
+    assert no_bound() is not None
+    hurt = made.withColumn("data", F.when(F.col("stream_id") == 2, F.concat(F.lit(b"\0").cast("binary"), "data")).otherwise(F.col("data")))
+    assert {r["stream_id"]: r["error"] for r in codecs.decoded(hurt).collect()} == {0: None, 1: None, 2: "crc", 3: None}
