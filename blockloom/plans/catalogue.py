@@ -572,15 +572,14 @@ def encryption_round_trip(spark, sf_dir):
 
 @query(f"WITH {sql_refs(BLOCK)} SELECT doc_id, block_no, length, cksum, kind, ref_stream, ref_block FROM k")
 def streaming_dedupe(spark, sf_dir):
-    """Blocks of documents as a file stream, deduplicated with state; only digests are kept.
+    """Blocks of documents as a file stream, deduplicated against an index of those before; only digests are kept.
 
     All files are there before the stream starts and make one micro-batch, so the first occurrence is that of the table.
     """
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4()}"
     blocks(spark, sf_dir, BLOCK).write.parquet(f"{folder}/in")
     source = streams.stream_of(spark, f"{folder}/in", "stream_id long, block_no long, offset long, length long, cksum string")
-    out = streaming.run_to_table(spark, streaming.streaming_references(source), f"{folder}/out", f"{folder}/state")
-    return as_doc(out)
+    return as_doc(streaming.references_to_table(spark, source, f"{folder}/out", f"{folder}/index", f"{folder}/state"))
 
 
 @query("""WITH h AS (SELECT hex(encode(text)) AS h, strlen(text) AS n FROM benchmark), b AS (SELECT substr(h, 1 + 2 * i, 2) AS x FROM (SELECT h, unnest(range(0, n)) AS i FROM h))

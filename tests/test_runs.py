@@ -345,3 +345,23 @@ def test_damaged_chunks_are_found_in_bounded_batches(spark, no_bound):
     assert no_bound() is not None
     hurt = made.withColumn("data", F.when(F.col("stream_id") == 2, F.concat(F.lit(b"\0").cast("binary"), "data")).otherwise(F.col("data")))
     assert {r["stream_id"]: r["error"] for r in codecs.decoded(hurt).collect()} == {0: None, 1: None, 2: "crc", 3: None}
+
+
+def test_a_stream_refers_to_what_arrived_before(spark, tmp_path):
+    from blockloom.sources import streams
+
+    schema = "stream_id long, block_no long, length long, cksum string"
+    arrivals = [[(5, 0, 9, "a"), (4, 1, 9, "a"), (4, 0, 9, "b"), (6, 0, 8, "a")], [(1, 0, 9, "a"), (2, 1, 9, "c"), (2, 0, 9, "c"), (2, 0, 9, "c")], [(0, 0, 9, "c"), (0, 1, 9, "d")]]
+    places = [f"{tmp_path}/{x}" for x in ("out", "index", "state")]
+    seen, want = {}, []
+    for rows in arrivals:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        got = streaming.references_to_table(spark, streams.stream_of(spark, f"{tmp_path}/in", schema), *places)
+        before = dict(seen)
+        for s, b, n, c in sorted(rows):
+            seen.setdefault((c, n), (s, b))
+        want += [(s, b, n, c, "literal" if (c, n) not in before and seen[c, n] == (s, b) else "exact", *seen[c, n]) for s, b, n, c in rows]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got.columns == ["stream_id", "block_no", "length", "cksum", "kind", "ref_stream", "ref_block"]
+    again = streaming.references_to_table(spark, streams.stream_of(spark, f"{tmp_path}/in", schema), *places)  # nothing new
+    assert again.count() == len(want)
