@@ -365,3 +365,14 @@ def test_a_stream_refers_to_what_arrived_before(spark, tmp_path):
     assert got.columns == ["stream_id", "block_no", "length", "cksum", "kind", "ref_stream", "ref_block"]
     again = streaming.references_to_table(spark, streams.stream_of(spark, f"{tmp_path}/in", schema), *places)  # nothing new
     assert again.count() == len(want)
+
+
+def test_equal_bytes_are_judged_row_by_row(spark):
+    made = codecs.encoded(spark.createDataFrame([(1, 0, b"abcd" * 300)], "stream_id long, chunk_no long, data binary"), F.array(*map(F.lit, ("lzma", "ppmd", "lzmaMt"))))
+    hurt = made.withColumn("data", F.when(F.col("codec_requested") == "ppmd", F.concat("data", F.lit(b"\0").cast("binary"))).otherwise(F.col("data")))
+    late = made.withColumn("digest", F.when(F.col("codec_requested") == "lzmaMt", "no").otherwise(F.col("digest")))
+    named = lambda df: {r["stream_id"]: (r["error"], r["data"] and bytes(r["data"])) for r in codecs.decoded(df.withColumn("stream_id", F.col("codec_requested"))).collect()}
+    whole = (None, b"abcd" * 300)
+    assert named(made) == {"lzma": whole, "ppmd": whole, "lzmaMt": whole}
+    assert named(hurt) == {"lzma": whole, "ppmd": ("crc", None), "lzmaMt": whole}
+    assert named(late) == {"lzma": whole, "ppmd": whole, "lzmaMt": ("digest", None)}
