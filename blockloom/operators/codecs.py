@@ -258,41 +258,49 @@ def encoded(chunks: DataFrame, codec: Column, level: int = 6, filters: tuple[str
     return mapped(chunks.select("stream_id", "chunk_no", "data", codec.alias("codec")), run, f"stream_id {kind}, {ENCODED}")
 
 
-def decoded(encoded_chunks: DataFrame, digest: str = "SHA256") -> DataFrame:
+def decoded(encoded_chunks: DataFrame, digest: str = "SHA256", keep_data: bool = True) -> DataFrame:
     """stream_id, chunk_no, data and error: what a CRC, the decoder or the digest found wrong, data then being null.
 
-    A row with the same bytes, codec and filters as the last one of these is not decoded anew.
+    A row with the same bytes, codec and filters as the last one of these is not decoded anew. Without keep_data there is
+    the length of data in its place, and no decoded bytes leave the kernel.
     """
     kind = encoded_chunks.schema["stream_id"].dataType.simpleString()
 
+    def judged(last: dict[tuple, tuple[bytes, bytes, str]], used: str, applied: list[str], raw: bytes, want: str, crc: int) -> tuple[bytes | None, str | None]:
+        if zlib.crc32(raw) != crc:
+            return None, "crc"
+        how = used, *applied
+        if how not in last or last[how][0] != raw:
+            try:
+                body = decode_chunk(raw, used, applied)
+            except Exception as e:  # any damage a decoder can meet
+                return None, f"decode: {type(e).__name__}"
+            last[how] = raw, body, DIGESTS[digest][1](body).hex()
+        _, body, have = last[how]
+        return (body, None) if have == want else (None, "digest")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[tuple, tuple[bytes, bytes, str]] = {}
         for batch in batches:
-            out, errors = [], []
-            for used, applied, data, want, crc in zip(*batch.columns[2:], strict=True):
-                body, error = None, None
-                raw = data.as_py()
-                if zlib.crc32(raw) != crc.as_py():
-                    error = "crc"
-                else:
-                    how = used.as_py(), *applied.as_py()
-                    if how in last and last[how][0] == raw:
-                        _, body, have = last[how]
-                    else:
-                        try:
-                            body = decode_chunk(raw, how[0], list(how[1:]))
-                        except Exception as e:  # any damage a decoder can meet
-                            error = f"decode: {type(e).__name__}"
-                        if body is not None:
-                            have = DIGESTS[digest][1](body).hex()
-                            last[how] = raw, body, have
-                    if body is not None and have != want.as_py():
-                        body, error = None, "digest"
-                out.append(body)
+            out, errors, held, start = [], [], 0, 0
+            for row in zip(*batch.columns[2:], strict=True):
+                body, error = judged(last, *(x.as_py() for x in row))
+                out.append(body if keep_data or body is None else len(body))
                 errors.append(error)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(errors, pa.string())], names=["stream_id", "chunk_no", "data", "error"])
-
-    return encoded_chunks.select("stream_id", "chunk_no", "codec_used", "filters", "data", "digest", "crc").transform(mapped, run, f"stream_id {kind}, chunk_no long, data binary, error string")
+                held += len(body) if keep_data and body is not None else 0
+                if held > BATCH_BYTES:
+                    yield written(batch, start, out, errors)
+                    start += len(out)
+                    out, errors, held = [], [], 0
+            if out:
+                yield written(batch, start, out, errors)
+
+    def written(batch: pa.RecordBatch, start: int, out: list, errors: list[str | None]) -> pa.RecordBatch:
+        keys = (batch.column(i).slice(start, len(out)) for i in range(2))
+        return pa.RecordBatch.from_arrays([*keys, pa.array(out, pa.binary() if keep_data else pa.int64()), pa.array(errors, pa.string())], names=["stream_id", "chunk_no", "data" if keep_data else "length", "error"])
+
+    rows = encoded_chunks.select("stream_id", "chunk_no", "codec_used", "filters", "data", "digest", "crc")
+    return mapped(rows, run, f"stream_id {kind}, chunk_no long, {'data binary' if keep_data else 'length long'}, error string")
 
 
 def usage(encoded_chunks: DataFrame) -> DataFrame:

@@ -47,18 +47,35 @@ def value_runs(df: DataFrame, part: list[str], order: list[str], test: Column) -
 def words(data: bytes, stride: int) -> np.ndarray:
     """Little-endian numbers of stride bytes; bytes over are left out."""
     n = len(data) // stride
+    if stride in (1, 2, 4, 8):
+        return np.frombuffer(data, f"<u{stride}", n)
     out = np.zeros((n, 8), np.uint8)
     out[:, :stride] = np.frombuffer(data, np.uint8, n * stride).reshape(n, stride)
     return out.view("<u8").ravel()
 
 
+def steps(data: bytes, stride: int) -> np.ndarray:
+    """The differences of words, modulo what a word holds."""
+    v = words(data, stride)
+    d = v[1:] - v[:-1]
+    return d if d.itemsize == stride else d & np.uint64((1 << (8 * stride)) - 1)
+
+
+def may_have_series(data: bytes, stride: int, least: int) -> bool:
+    """False where no piece of data, cut between its words, has a series of more than `least` bytes."""
+    alike = least // stride - 1  # steps of such a series that are the same as the one before
+    if alike < 1:
+        return True
+    d = steps(data, stride)
+    at = np.flatnonzero(d[1:] == d[:-1])
+    return len(at) >= alike and bool((at[alike - 1 :] - at[: len(at) - alike + 1] == alike - 1).any())
+
+
 def series(data: bytes, stride: int, least: int) -> list[tuple[int, int]]:
     """First and end word of the arithmetic series of more than `least` bytes, in order and apart."""
-    v = words(data, stride)
-    if len(v) < 3:
+    if len(data) // stride < 3:
         return []
-    mask = np.uint64((1 << (8 * stride)) - 1)
-    d = (v[1:] - v[:-1]) & mask
+    d = steps(data, stride)
     edges = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1], [True]]))
     a, b = edges[:-1], edges[1:]
     long = (b + 1 - a) * stride > least
@@ -86,9 +103,10 @@ def series_encode(data: bytes, strides: tuple[int, ...] = (2, 4, 8), least: int
     What stands between series is one piece, however many blocks it fills.
     """
     out, last = [], 0
-    for at in range(0, len(data), SERIES_BLOCK):
+    likely = [s for s in strides if SERIES_BLOCK % s or may_have_series(data, s, least)]
+    for at in range(0, len(data) if likely else 0, SERIES_BLOCK):
         part = data[at : at + SERIES_BLOCK]
-        tried = {s: series(part, s, least) for s in strides}
+        tried = {s: series(part, s, least) if s in likely else [] for s in strides}
         if not any(tried.values()):
             continue
         stride = min(strides, key=lambda s: size_with(tried[s], len(part), s))

@@ -376,3 +376,40 @@ def test_equal_bytes_are_judged_row_by_row(spark):
     assert named(made) == {"lzma": whole, "ppmd": whole, "lzmaMt": whole}
     assert named(hurt) == {"lzma": whole, "ppmd": ("crc", None), "lzmaMt": whole}
     assert named(late) == {"lzma": whole, "ppmd": whole, "lzmaMt": ("digest", None)}
+
+
+def test_a_quick_look_for_series_misses_none():
+    import random
+
+    import numpy as np
+
+    from blockloom.operators import delta
+
+    rng = random.Random(3)
+    for case in range(600):
+        made = [rng.randbytes(rng.randint(0, 90)), (np.arange(rng.choice([5, 6, 7, 12, 13, 25, 26, 600]), dtype="<u8") * rng.randint(0, 1 << 60)).astype(rng.choice(["<u2", "<u4", "<u8"])).tobytes(), rng.randbytes(rng.randint(0, 5000))]
+        data = b"".join(made if case % 2 else made[::2])
+        for stride in (2, 4, 8):
+            for least in (20, 50, 200):
+                if any(delta.series(data[a : a + delta.SERIES_BLOCK], stride, least) for a in range(0, len(data), delta.SERIES_BLOCK)):
+                    assert delta.may_have_series(data, stride, least)
+        if (coded := delta.series_encode(data)) is not None:
+            assert delta.series_decode(coded) == data
+
+
+def test_texts_without_series_are_not_searched_block_by_block(monkeypatch):
+    from blockloom.operators import delta
+
+    text = " ".join(f"word{k * k % 7919}" for k in range(9000)).encode()
+    calls = []
+    monkeypatch.setattr(delta, "series", lambda *a: calls.append(a) or [])
+    assert delta.series_encode(text) is None and not calls
+
+
+def test_lengths_take_the_place_of_decoded_bytes(spark):
+    rows = [(1, 0, b"abcd" * 300), (2, 0, b"z" * 70_000), (2, 1, b"q")]
+    made = codecs.encoded(spark.createDataFrame(rows, "stream_id long, chunk_no long, data binary"), F.array(*map(F.lit, ("zlib", "ppmd"))), 3, ("lzp",))
+    hurt = made.withColumn("digest", F.when(F.col("stream_id") == 1, "no").otherwise(F.col("digest")))
+    back = codecs.decoded(hurt, keep_data=False)
+    assert back.columns == ["stream_id", "chunk_no", "length", "error"]
+    assert sorted(map(tuple, back.collect()), key=str) == sorted([(s, c, None if s == 1 else len(d), "digest" if s == 1 else None) for s, c, d in rows for _ in range(2)], key=str)
