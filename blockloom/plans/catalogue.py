@@ -607,7 +607,7 @@ def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of documents decoded again, after every tenth document's were damaged."""
     coded = codecs.encoded(chunking.chunks(streams.documents(spark, sf_dir), 1 << 20), F.lit("zlib"))
     hurt = F.concat(F.lit(b"\0").cast("binary"), F.col("data"))
-    return codecs.decoded(coded.withColumn("data", F.when(F.col("stream_id") % 10 == 0, hurt).otherwise(F.col("data"))))
+    return codecs.decoded(coded.withColumn("data", F.when(F.col("stream_id") % 10 == 0, hurt).otherwise(F.col("data"))), keep_data=False)
 
 
 @query("SELECT CASE WHEN doc_id % 10 = 0 THEN 'crc' END AS error, count(*) AS n FROM documents WHERE strlen(text) > 0 GROUP BY 1")

@@ -413,3 +413,22 @@ def test_lengths_take_the_place_of_decoded_bytes(spark):
     back = codecs.decoded(hurt, keep_data=False)
     assert back.columns == ["stream_id", "chunk_no", "length", "error"]
     assert sorted(map(tuple, back.collect()), key=str) == sorted([(s, c, None if s == 1 else len(d), "digest" if s == 1 else None) for s, c, d in rows for _ in range(2)], key=str)
+
+
+def test_decoded_bytes_leave_the_kernel_in_bounded_batches(spark, monkeypatch):
+    from blockloom.shared import BATCH_BYTES
+
+    rows = [(k, 0, bytes([k]) * (1 << 20)) for k in range(24)]  # 24 MB that take some KB when encoded
+    made = codecs.encoded(spark.createDataFrame(rows, "stream_id long, chunk_no long, data binary").coalesce(1), F.lit("zlib"))
+    made = made.withColumn("data", F.when(F.col("stream_id") == 5, F.concat(F.lit(b"\0").cast("binary"), "data")).otherwise(F.col("data"))).persist()
+    caught = []
+    monkeypatch.setattr(codecs, "mapped", lambda df, run, schema: caught.append((df, run)) or df)
+    codecs.decoded(made)
+    (df, run), = caught
+    table = df.toArrow().combine_chunks()
+    assert table.nbytes < BATCH_BYTES
+    out = list(run(iter(table.to_batches())))
+    assert max(b.nbytes for b in out) <= 2 * BATCH_BYTES
+    got = [x for b in out for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sorted(got) == sorted((k, 0, None if k == 5 else d, "crc" if k == 5 else None) for k, _, d in rows)
+    made.unpersist()
